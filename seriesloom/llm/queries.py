@@ -1,9 +1,12 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from seriesloom.llm import decontaminate, mixing
+from seriesloom.llm import decontaminate, langid, mixing, simhash, suffixdedup
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op3_language_id": langid.query,
+    "op6_simhash_near_dup": simhash.query,
+    "op8_suffix_array_dedup": suffixdedup.query,
     "op10_decontaminate": decontaminate.query,
 }
 ORACLES = {
