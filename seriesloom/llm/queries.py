@@ -1,9 +1,10 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from seriesloom.llm import decontaminate, langid, mixing, simhash, suffixdedup
+from seriesloom.llm import annsearch, decontaminate, langid, mixing, simhash, suffixdedup
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_inverted_multi_index": annsearch.query,
     "op3_language_id": langid.query,
     "op6_simhash_near_dup": simhash.query,
     "op8_suffix_array_dedup": suffixdedup.query,
@@ -11,5 +12,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
+    "op8_suffix_array_dedup": suffixdedup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }

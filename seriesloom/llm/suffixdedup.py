@@ -45,7 +45,8 @@ WIDTH = LEFT + LENGTH
 COVER, MEMBERS = 31, (1, 5, 11, 24, 25, 27)
 BLOCK = 1 << 23
 PLACE = np.uint64((1 << 24) - 1)
-GROUPS_EACH, BUCKETS_EACH = 8, 4
+#: Groups of documents and buckets of hashes for each shuffle partition; a group sends a bucket one row.
+GROUPS_EACH, BUCKETS_EACH = 2, 2
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 
 
@@ -395,3 +396,17 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def query(spark, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents"))
 
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(generate_series(0, len(h) // 2 - 50)) AS p FROM d WHERE len(h) >= 100)),
+firsts AS (SELECT s, min(doc_id) AS f FROM starts GROUP BY s),
+hits AS (SELECT r, p FROM starts JOIN firsts USING (s) WHERE f < doc_id),
+runs AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run FROM (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM hits)),
+spans AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY r, run),
+pieces AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS kept FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
