@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import materialize, partitions, table
 
 SAMPLE, CHUNK = 20_000, 4096
+#: What deals cells and chunks to tasks.
+SPREAD, SPREAD_CHUNK = 1_000_003, 40_503
 #: Centroids of a half: at most; vectors of a cell, aimed at. A query sees REACH times the square root of the vectors.
-MOST_CENTROIDS, CELL, REACH = 256, 16, 60
+MOST_CENTROIDS, CELL, REACH = 256, 1, 100
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -63,19 +65,29 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def traverse(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
-    """Cells in order of summed distance until they hold enough vectors; sizes: [left, right] vectors in each."""
-    a, b = left.argsort(kind="stable"), right.argsort(kind="stable")
-    heap, seen, found, total = [(left[a[0]] + right[b[0]], 0, 0)], {(0, 0)}, [], 0.0
+    """Cells in order of summed distance until they hold enough vectors; sizes: [left, right] vectors in each.
+
+    The heap has the nearest cell that is left of each row, so no more entries than there are left centroids.
+    """
+    order = right.argsort(kind="stable")
+    near, filled = right[order].tolist(), sizes[:, order] > 0
+    first, counts = filled.argmax(1).tolist(), sizes[:, order]
+    heap = [(left[i] + near[first[i]], i, 0) for i in np.flatnonzero(filled.any(1)).tolist()]
+    heapq.heapify(heap)
+    rows: dict[int, tuple[list, list]] = {}
+    found, total, most, own = [], 0.0, enough / 8, left.tolist()
     while heap and total < enough:
-        _, i, j = heapq.heappop(heap)
-        n = sizes[a[i], b[j]]
-        if n:
-            found.append(int(a[i]) * len(right) + int(b[j]))
-            total += min(n, enough / 8)
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (left[a[x]] + right[b[y]], x, y))
+        _, i, at = heap[0]
+        if i not in rows:
+            js = np.flatnonzero(filled[i])
+            rows[i] = (js.tolist(), counts[i, js].tolist())
+        js, ns = rows[i]
+        found.append(i * len(near) + int(order[js[at]]))
+        total += min(ns[at], most)
+        if at + 1 < len(js):
+            heapq.heapreplace(heap, (own[i] + near[js[at + 1]], i, at + 1))
+        else:
+            heapq.heappop(heap)
     return found
 
 
@@ -84,23 +96,22 @@ def matrix(column) -> np.ndarray:
     return np.asarray(flat.flatten()).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
-def rerank(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query, id, distance) of the k nearest of ids to each query."""
-    for q, v in zip(q_ids, queries, strict=True):
-        d = np.sqrt(((vectors - v) ** 2).sum(1))
-        d[ids == q] = np.inf
-        top = np.lexsort((ids, d))[: k + 1] if len(d) <= 4 * k else None
-        if top is None:
-            near = np.flatnonzero(d <= np.partition(d, k)[k])
-            top = near[np.lexsort((ids[near], d[near]))]
-        taken, names = 0, set()
-        for i in top:
-            if d[i] < np.inf and ids[i] not in names:
-                names.add(ids[i])
-                yield q, ids[i], d[i]
-                taken += 1
-                if taken == k:
-                    break
+def nearest_ids(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
+    """(distance, id) of the k vectors nearest to query under other ids, ties by id."""
+    d = np.sqrt(((vectors - query) ** 2).sum(1))
+    d[ids == own] = np.inf
+    wide = 4 * k
+    while True:
+        near = np.flatnonzero(d <= np.partition(d, wide)[wide]) if wide < len(d) else np.arange(len(d))
+        found: dict[int, float] = {}
+        for i in near[np.lexsort((ids[near], d[near]))].tolist():
+            if d[i] < np.inf:
+                found.setdefault(int(ids[i]), float(d[i]))
+            if len(found) == k:
+                break
+        if len(found) == k or wide >= len(d):
+            return [(x, i) for i, x in found.items()]
+        wide *= 4
 
 
 def search(rows: DataFrame, queries: DataFrame, *, k: int = 10, reach: float = REACH) -> DataFrame:
@@ -127,38 +138,44 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 10, reach: float = R
         sizes.flat[cell] = n
     enough = max(2000, int(reach * total**0.5))
 
+    parts = partitions(spark) * 4
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m, out = matrix(b.column(1)), []
+            m, at, dealt, keys = matrix(b.column(1)), [], [], []
             d = [squared(p, book) for p, book in zip(halves(m), books, strict=True)]
             for i in range(b.num_rows):
-                out += [(i, c, s) for c in traverse(d[0][i], d[1][i], sizes, enough) for s in range(-(-int(sizes.flat[c]) // CHUNK))]
-            at = pa.array([o[0] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], names=["query_id", "vec", "cell", "chunk"])
+                cells = np.array(traverse(d[0][i], d[1][i], sizes, enough), np.int64)
+                n = -(-sizes.flat[cells] // CHUNK)
+                cells, chunk = np.repeat(cells, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                part = (cells * SPREAD + chunk * SPREAD_CHUNK) % parts
+                order = np.argsort(part, kind="stable")
+                names, first = np.unique(part[order], return_index=True)
+                at += [i] * len(names)
+                dealt += names.tolist()
+                keys += np.split((cells << 32)[order] + chunk[order], first[1:])
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.array(keys, pa.list_(pa.int64()))], names=["part", "query_id", "vec", "keys"])
 
     chunks = F.create_map(*(F.lit(int(v)) for c in np.flatnonzero(sizes > CHUNK) for v in (c, -(-sizes.flat[c] // CHUNK)))) if (sizes > CHUNK).any() else None
     chunk = F.pmod(F.xxhash64("vec_id"), F.coalesce(chunks[F.col("cell")], F.lit(1))) if chunks is not None else F.lit(0)
-    parts = partitions(spark) * 4
-    part = F.pmod(F.xxhash64("cell", "chunk"), F.lit(parts)).cast("int").alias("part")
-    stored = index.withColumn("chunk", chunk.cast("long")).select(part, "cell", "chunk", "vec_id", "vec")
-    asked = queries.select("vec_id", "vec").mapInArrow(visit, "query_id long, vec array<double>, cell long, chunk long").select(part, "cell", "chunk", "query_id", "vec")
+    key = F.shiftleft(F.col("cell"), 32) + F.col("chunk")
+    part = F.pmod(F.col("cell") * SPREAD + F.col("chunk") * SPREAD_CHUNK, F.lit(parts)).cast("long")
+    stored = index.withColumn("chunk", chunk.cast("long")).select(part.alias("part"), key.alias("key"), "vec_id", "vec")
+    asked = queries.select("vec_id", "vec").mapInArrow(visit, "part long, query_id long, vec array<double>, keys array<long>")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, out = [], []
-        for t, name in ((left, "vec_id"), (right, "query_id")):
-            key = np.stack([np.asarray(t.column("cell")), np.asarray(t.column("chunk"))], 1) if t.num_rows else np.zeros((0, 2), np.int64)
-            groups: dict[tuple, list] = {}
-            for i, c in enumerate(map(tuple, key.tolist())):
-                groups.setdefault(c, []).append(i)
-            rows.append((np.asarray(t.column(name)), matrix(t.column("vec")), groups))
-        (ids, vectors, cells), (q_ids, qs, asks) = rows
-        for c in asks.keys() & cells.keys():
-            out += rerank(ids[cells[c]], vectors[cells[c]], q_ids[asks[c]], qs[asks[c]], k)
-        best: dict[int, list] = {}
-        for q, i, d in out:
-            best.setdefault(int(q), []).append((float(d), int(i)))
-        got = [(q, i, d) for q, found in best.items() for d, i in heapq.nsmallest(2 * k, found)]
-        return pa.table({"query_id": pa.array([g[0] for g in got], pa.int64()), "vec_id": pa.array([g[1] for g in got], pa.int64()), "score": pa.array([g[2] for g in got], pa.float64())})
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            by_key = np.argsort(np.asarray(left.column("key")), kind="stable")
+            stored_keys, ids, vectors = np.asarray(left.column("key"))[by_key], np.asarray(left.column("vec_id"))[by_key], matrix(left.column("vec"))[by_key]
+            for q, v, keys in zip(right.column("query_id").to_pylist(), matrix(right.column("vec")), right.column("keys"), strict=True):
+                lo, hi = (np.searchsorted(stored_keys, np.asarray(keys.values), side=side) for side in ("left", "right"))
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                if len(at):
+                    out += [(q, i, d) for d, i in nearest_ids(ids[at], vectors[at], q, v, k)]
+        return pa.table({"query_id": pa.array([g[0] for g in out], pa.int64()), "vec_id": pa.array([g[1] for g in out], pa.int64()), "score": pa.array([g[2] for g in out], pa.float64())})
 
     found = stored.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(compare, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
