@@ -138,7 +138,7 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 10, reach: float = R
         sizes.flat[cell] = n
     enough = max(2000, int(reach * total**0.5))
 
-    parts = partitions(spark) * 4
+    parts = max(1, min(partitions(spark) * 4, total // 1000))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
