@@ -1,0 +1,34 @@
+"""Series read from tables: the panels that queries use, and CSV files of series."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def monthly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, t, y): order value by priority and month from 1995 to July 2001, in units of 1.3 million (cents are then no rounding ties)."""
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("2001-08-01").cast("timestamp_ntz"))
+    t = ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).cast("int")
+    return o.groupBy(F.col("o_orderpriority").alias("series_id"), t.alias("t")).agg((F.sum("o_totalprice") / 1.3e6).alias("y"))
+
+
+def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, ds, t, y): events by type and day."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("ds")).agg(F.count("*").cast("double").alias("y"))
+    return e.withColumn("t", F.date_diff("ds", F.lit("2024-01-01").cast("date")))
+
+
+def read_series_csv(spark: SparkSession, path: str, series_id: str) -> DataFrame:
+    """A file with the header t,y; rows without a value are dropped."""
+    return spark.read.csv(path, header=True, schema="t int, y double").filter(F.col("y").isNotNull() & ~F.isnan("y")).select(F.lit(series_id).alias("series_id"), "t", "y")
+
+
+def check_shape(df: DataFrame, n: int, low: float, high: float) -> DataFrame:
+    """(series_id, n, low, high, fits): whether each series has n values within the bounds."""
+    out = df.groupBy("series_id").agg(F.count("y").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"))
+    return out.withColumn("fits", (F.col("n") == n) & (F.col("low") >= low) & (F.col("high") <= high))
