@@ -66,6 +66,11 @@ def short_print(w: Column, n: Column) -> Column:
     return F.xxhash64(F.array_join(F.slice(w, F.lit(1), n), " "), n)
 
 
+def short_prints(w: Column, n: int) -> Column:
+    """The fingerprint of the n words from each position on."""
+    return F.transform(w, lambda _, i: short_print(F.slice(w, i + 1, n), F.lit(n)))
+
+
 def bitmap(bench: DataFrame) -> tuple[Column, int]:
     """An array literal of bits and their number less 1: a bit is set if some fingerprint ends so."""
     bits = 1 << 10
@@ -92,7 +97,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
         return F.call_function("shiftright", mask, p.bitwiseAND(F.lit(31)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
     split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words(F.col(text_col)).alias("w"), masks.alias("bits"))
-    found = [windows(w, n, fingerprints(w) if n == WINDOW else F.transform(w, lambda _, i, n=n: short_print(F.slice(w, i + 1, n), F.lit(n))), passes) for n in lengths]
+    found = [windows(w, n, fingerprints(w) if n == WINDOW else short_prints(w, n), passes) for n in lengths]
     empty = F.array().cast("array<struct<start:int,n:int,print:bigint,span:string>>")
     scanned = materialize(split.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), (F.concat(*found) if found else empty).alias("found")))
     likely = scanned.filter(F.size("found") > 0).select("doc_id", "text_hash", F.explode("found").alias("x")).select("doc_id", "text_hash", "x.*").distinct()

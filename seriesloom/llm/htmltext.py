@@ -113,6 +113,7 @@ class Page:
 
     def text(self, s: str, pre: bool) -> None:
         if pre:
+            self.flush_gap()
             first, *rest = s.split("\n")
             self.now += first
             for line in rest:
