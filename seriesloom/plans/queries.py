@@ -12,7 +12,7 @@ from seriesloom.operators import series
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-S = """s AS (SELECT o_orderpriority AS series_id, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1)::INT AS t, sum(o_totalprice) / 1.3e6 AS y FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1, 2)"""
+S = """s AS (SELECT o_orderpriority AS series_id, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1)::INT AS t, sum(o_totalprice) / 1234577.0 AS y FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1, 2)"""
 E = """, e AS (SELECT *, y - avg(y) OVER (PARTITION BY series_id) AS e FROM s)"""
 D = """s AS (SELECT event_type AS series_id, ts::DATE AS ds, datediff('day', DATE '2024-01-01', ts::DATE)::INT AS t, count(*)::DOUBLE AS y FROM events GROUP BY 1, 2, 3)"""
 

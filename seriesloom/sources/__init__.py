@@ -11,10 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def monthly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, t, y): order value by priority and month from 1995 to July 2001, in units of 1.3 million (cents are then no rounding ties)."""
+    """(series_id, t, y): order value by priority and month from 1995 to July 2001, in units of 1,234,577, a prime (cents are then no rounding ties)."""
     o = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("2001-08-01").cast("timestamp_ntz"))
     t = ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).cast("int")
-    return o.groupBy(F.col("o_orderpriority").alias("series_id"), t.alias("t")).agg((F.sum("o_totalprice") / 1.3e6).alias("y"))
+    return o.groupBy(F.col("o_orderpriority").alias("series_id"), t.alias("t")).agg((F.sum("o_totalprice") / 1234577.0).alias("y"))
 
 
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
