@@ -273,3 +273,24 @@ def b3(spark, d):
 @register("s14_check_shape", f"WITH {S} SELECT series_id, count(y)::BIGINT AS n, {r('min(y) AS low', 'max(y) AS high')}, count(y) = 79 AND min(y) >= 0 AND max(y) <= 1000000 AS fits FROM s GROUP BY 1")
 def s14(spark, d):
     return rounded(sources.check_shape(sources.monthly_revenue(spark, d), 79, 0, 1e6))
+
+
+@register("f2_fit_arima")
+def f2(spark, d):
+    from seriesloom.plans import models
+
+    return models.fit(sources.monthly_revenue(spark, d), (1, 0, 1)).drop("phi", "theta")
+
+
+@register("f7_forecast_airline")
+def f7b(spark, d):
+    from seriesloom.plans import models
+
+    return models.forecast(sources.monthly_revenue(spark, d), (0, 1, 1), (0, 1, 1, 12))
+
+
+@register("a1_auto_arima_panel")
+def a1(spark, d):
+    from seriesloom.plans import models
+
+    return models.search(sources.monthly_revenue(spark, d), most_p=2, most_q=2).drop("phi", "theta")
