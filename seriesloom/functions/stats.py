@@ -238,3 +238,14 @@ def candidate_grid(spark, p: int, q: int, sp: int, sq: int, most: int) -> DataFr
     side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
     grid = spark.range(1).select(side(p).alias("p")).select("p", side(q).alias("q")).select("p", "q", side(sp).alias("sp")).select("p", "q", "sp", side(sq).alias("sq"))
     return grid.filter(F.col("p") + F.col("q") + F.col("sp") + F.col("sq") <= most)
+
+
+def box_cox_lambda(df: DataFrame, *, low: int = -200, high: int = 200, shift: float = 0.0) -> DataFrame:
+    """(series_id, lam): the profile likelihood's best power among hundredths from low / 100 to high / 100."""
+    x = F.col(Y) + shift
+    base = df.filter(x > 0).select(KEY, x.alias("x"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("k"))
+    lam = F.col("k") / 100.0
+    z = F.when(F.col("k") == 0, F.ln("x")).otherwise((F.pow("x", lam) - 1) / lam)
+    fit = base.select(KEY, "k", z.alias("z"), F.ln("x").alias("l")).groupBy(KEY, "k").agg(F.count("*").alias("n"), F.var_pop("z").alias("v"), F.sum("l").alias("l"))
+    value = F.when(F.col("v") > 0, -F.col("n") / 2.0 * F.ln("v") + (lam - 1) * F.col("l"))
+    return fit.groupBy(KEY).agg((F.max_by("k", value) / 100.0).alias("lam"))

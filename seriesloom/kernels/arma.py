@@ -230,3 +230,38 @@ class Fitted:
                 psi[:, i] += psi[:, i - lag]
         half = z * np.sqrt(self.sigma2[:, None] * np.cumsum(psi**2, 1))
         return ahead, ahead - half, ahead + half
+
+
+def roots(coefficients: np.ndarray, sign: float) -> np.ndarray:
+    """Roots of 1 + sign (c_1 z + c_2 z² ...); sign is -1 for autoregressive and 1 for moving-average parts."""
+    c = np.trim_zeros(np.concatenate([[1.0], sign * np.asarray(coefficients, float)]), "b")
+    return np.roots(c[::-1]) if len(c) > 1 else np.zeros(0, complex)
+
+
+def integrated_psi(phi: np.ndarray, theta: np.ndarray, h: int, lags: list[int]) -> np.ndarray:
+    """[B, h] moving-average weights, summed up along each lag of differencing."""
+    psi = np.zeros((len(phi), h))
+    psi[:, 0] = 1
+    for i in range(1, h):
+        psi[:, i] = (theta[:, i - 1] if i <= theta.shape[1] else 0) + sum((phi[:, j] * psi[:, i - j - 1] for j in range(min(phi.shape[1], i))), np.zeros(len(phi)))
+    for lag in lags:
+        for i in range(lag, h):
+            psi[:, i] += psi[:, i - lag]
+    return psi
+
+
+def sample_paths(model: Fitted, h: int, n: int, keys: list[int], seed: int = 0, gaussian: bool = False) -> np.ndarray:
+    """[B, n, h] forecasts with resampled residuals (those that aren't zero) or normal shocks.
+
+    Each series draws from a generator of its own key, so paths don't depend on how series are batched.
+    """
+    (_, d, _), (_, sd, _, m) = model.order, model.seasonal
+    psi = integrated_psi(model.phi, model.theta, h, [1] * d + [m] * sd)
+    point, e, out = model.forecast(h)[0], model.residuals(), np.empty((len(model.y), n, h))
+    for i, key in enumerate(keys):
+        rng = np.random.Generator(np.random.Philox(key=[seed, key % 2**64]))
+        pool = e[i][e[i] != 0]
+        shocks = rng.normal(0, np.sqrt(model.sigma2[i]), (n, h)) if gaussian or not len(pool) else rng.choice(pool, (n, h))
+        spread = np.array([[psi[i, b - a] if b >= a else 0.0 for b in range(h)] for a in range(h)])
+        out[i] = point[i] + shocks @ spread
+    return out

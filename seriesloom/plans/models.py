@@ -65,3 +65,70 @@ def search(df: DataFrame, *, most_p: int = 3, most_q: int = 3, most_order: int =
     fitted = ready.groupBy("n", "batch", "p", "d", "q").applyInPandas(run, MODEL)
     best = F.min_by(F.struct(*[c for c in fitted.columns if c != KEY]), F.struct(criterion, "p", "q"))
     return fitted.groupBy(KEY).agg(best.alias("x")).select(KEY, "x.*")
+
+
+def bootstrap(df: DataFrame, order: tuple[int, int, int], seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), *, h: int = 12, n: int = 1000, seed: int = 0, gaussian: bool = False) -> DataFrame:
+    """(series_id, sim, h, value): sampled forecast paths; summarise with functions.stats.path_summary."""
+    from seriesloom.kernels.arma import sample_paths
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [int(k) for k in rows["key"]]
+        paths = sample_paths(Fitted(np.stack(rows["ys"].to_numpy()), order, seasonal), h, n, keys, seed, gaussian)
+        return pd.DataFrame({KEY: np.repeat(rows[KEY].to_numpy(), n * h), "sim": np.tile(np.repeat(np.arange(n), h), len(rows)), "h": np.tile(np.arange(1, h + 1), n * len(rows)), "value": paths.ravel()})
+
+    return _grouped(df).withColumn("key", F.xxhash64(KEY)).groupBy("n", "batch").applyInPandas(run, f"{KEY} string, sim int, h int, value double")
+
+
+def cross_validate(df: DataFrame, folds: DataFrame, order: tuple[int, int, int], seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), *, horizon: int) -> DataFrame:
+    """(series_id, fold, smape, mae, mse, rmse): each fold of each series is fitted as a series of its own."""
+    from seriesloom.functions.stats import errors
+    from seriesloom.operators.series import fold_rows
+
+    rows = fold_rows(df, folds).withColumn("origin", F.struct(KEY, "fold"))
+    name = F.to_json("origin")
+    train = rows.filter("role = 'train'").select(name.alias(KEY), "t", "y")
+    test = rows.filter("role = 'test'").join(folds.select(KEY, "fold", "test_lo"), [KEY, "fold"]).select(KEY, "fold", name.alias("name"), (F.col("t") - F.col("test_lo") + 1).alias("h"), F.col("y").alias("y_true"))
+    pred = forecast(train, order, seasonal, horizon).select(F.col(KEY).alias("name"), "h", F.col("forecast").alias("y_pred"))
+    return errors(test.join(pred, ["name", "h"]), KEY, "fold")
+
+
+def per_series(df: DataFrame, function, columns: list[str]) -> DataFrame:
+    """(series_id, columns): function(values) gives a number for each column; series go to tasks a batch at a time."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = np.array([function(np.asarray(y, float)) for y in rows["ys"]], float).reshape(len(rows), len(columns))
+        return pd.DataFrame({KEY: rows[KEY].to_numpy(), **{c: found[:, i] for i, c in enumerate(columns)}})
+
+    return _grouped(df).groupBy("n", "batch").applyInPandas(run, ", ".join([f"{KEY} string", *(f"{c} double" for c in columns)]))
+
+
+def adf(df: DataFrame, *, lags: int | None = None, trend: bool = False, alpha: float = 0.05) -> DataFrame:
+    from seriesloom.kernels import unitroot
+
+    return per_series(df, lambda y: unitroot.adf(y, lags, trend), ["stat", "p"]).withColumn("diff", F.col("p") > alpha)
+
+
+def pp(df: DataFrame, *, trend: bool = False, short: bool = True, alpha: float = 0.05) -> DataFrame:
+    from seriesloom.kernels import unitroot
+
+    return per_series(df, lambda y: unitroot.pp(y, trend, short), ["stat", "p"]).withColumn("diff", F.col("p") > alpha)
+
+
+def seasonal_strength(df: DataFrame, m: int, limit: float = 0.64) -> DataFrame:
+    """(series_id, strength, seasonal_diff): whether seasonality is strong enough to difference."""
+    from seriesloom.kernels import unitroot
+
+    return per_series(df, lambda y: unitroot.seasonal_strength(y, m), ["strength"]).withColumn("seasonal_diff", F.col("strength") > limit)
+
+
+def save(models: DataFrame, path: str) -> None:
+    models.withColumn("version", F.lit(1)).write.mode("overwrite").json(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    """Saved models; raises if a row breaks what holds for every model."""
+    rows = spark.read.schema(f"{MODEL}, version int").json(path)
+    fits = (F.col("version") == 1) & (F.size("phi") == F.col("p") + F.col("sp") * F.col("m")) & (F.size("theta") == F.col("q") + F.col("sq") * F.col("m")) & (F.least("p", "d", "q", "sp", "sd", "sq") >= 0) & (F.col("sigma2") >= 0)
+    if bad := rows.filter(~F.coalesce(fits, F.lit(False))).limit(1).collect():
+        raise ValueError(f"not a valid model: {bad[0]}")
+    return rows.drop("version")

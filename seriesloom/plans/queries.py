@@ -294,3 +294,44 @@ def a1(spark, d):
     from seriesloom.plans import models
 
     return models.search(sources.monthly_revenue(spark, d), most_p=2, most_q=2).drop("phi", "theta")
+
+
+@register("p1_box_cox_lambda", f"WITH {S}, g AS (SELECT series_id, k, CASE WHEN k = 0 THEN ln(y) ELSE (pow(y, k / 100.0) - 1) / (k / 100.0) END AS z, ln(y) AS l FROM s, generate_series(-200, 200) a(k) WHERE y > 0), f AS (SELECT series_id, k, -count(*) / 2.0 * ln(var_pop(z)) + (k / 100.0 - 1) * sum(l) AS value FROM g GROUP BY 1, 2) SELECT series_id, arg_max(k, value) / 100.0 AS lam FROM f GROUP BY 1")
+def p1b(spark, d):
+    return stats.box_cox_lambda(sources.monthly_revenue(spark, d))
+
+
+@register("t2_adf")
+def t2(spark, d):
+    from seriesloom.plans import models
+
+    return models.adf(sources.monthly_revenue(spark, d))
+
+
+@register("t3_phillips_perron")
+def t3(spark, d):
+    from seriesloom.plans import models
+
+    return models.pp(sources.monthly_revenue(spark, d))
+
+
+@register("t10_t11_seasonal_strength")
+def t10(spark, d):
+    from seriesloom.plans import models
+
+    return models.seasonal_strength(sources.monthly_revenue(spark, d), 12)
+
+
+@register("b2_b3_bootstrap_forecast")
+def b2(spark, d):
+    from seriesloom.plans import models
+
+    return stats.path_summary(models.bootstrap(sources.monthly_revenue(spark, d), (1, 0, 0), h=6, n=500))
+
+
+@register("m4_cv_scores_arima")
+def m4b(spark, d):
+    from seriesloom.plans import models
+
+    s = sources.monthly_revenue(spark, d)
+    return models.cross_validate(s, series.rolling_folds(_sizes(spark, d), horizon=6, step=12, initial=36), (1, 0, 0), horizon=6)

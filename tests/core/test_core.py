@@ -104,3 +104,39 @@ def test_random_walk_forecast(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_seasonal_strength_and_unit_roots():
+    from seriesloom.kernels import unitroot
+
+    assert unitroot.seasonal_strength(AIR, 12) == pytest.approx(0.9557, abs=1e-4)
+    assert unitroot.adf(np.array([1, -1, 0, 2, -1, -2, 3.0]), trend=True)[1] == pytest.approx(0.01)
+    walk = np.random.default_rng(5).normal(size=400).cumsum()
+    for test in (unitroot.adf, unitroot.pp):
+        assert test(walk)[1] > 0.05 and test(np.diff(walk))[1] == pytest.approx(0.01)
+
+
+def test_bootstrap_does_not_depend_on_batches(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    both = frame(spark, rng.normal(size=60), "a").unionByName(frame(spark, rng.normal(size=60), "b"))
+    one = models.bootstrap(both, (0, 1, 0), h=3, n=400).orderBy("series_id", "sim", "h").collect()
+    monkeypatch.setattr(models, "BATCH", 1)
+    assert np.allclose([r["value"] for r in one], [r["value"] for r in models.bootstrap(both.repartition(5), (0, 1, 0), h=3, n=400).orderBy("series_id", "sim", "h").collect()])
+
+
+def test_models_round_trip(spark, tmp_path):
+    fitted = models.fit(frame(spark, AIR), (1, 1, 1), (0, 1, 1, 12))
+    models.save(fitted, str(tmp_path / "m"))
+    a, b = fitted.first(), models.load(spark, str(tmp_path / "m")).first()
+    assert a["phi"] == pytest.approx(b["phi"]) and a["log_l"] == pytest.approx(b["log_l"])
+    from pyspark.sql import functions as F
+
+    models.save(fitted.withColumn("p", F.lit(3)), str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="not a valid model"):
+        models.load(spark, str(tmp_path / "bad"))
+
+
+def test_roots_and_lambda(spark):
+    assert sorted(abs(arma.roots([0.5], -1.0))) == pytest.approx([2.0])
+    assert len(arma.roots([], 1.0)) == 0
+    assert -0.4 < stats.box_cox_lambda(frame(spark, AIR)).first()["lam"] < 0.3
