@@ -37,25 +37,39 @@ def kpss(df: DataFrame, *, trend: bool = False, short: bool = True, lag: int | N
     return sums.join(walk, KEY).withColumn("spread", spread).withColumn("stat", stat).select(KEY, "n", "stat", interpolated(F.col("stat"), table).alias("p")).withColumn("diff", F.col("p") < alpha)
 
 
-def n_diffs(df: DataFrame, *, most: int = 2, alpha: float = 0.05) -> DataFrame:
-    """(series_id, d): how often to difference until the KPSS test accepts, with lag trunc(3 sqrt(n) / 13)."""
-    from seriesloom.operators.series import diff
-
-    out, level = None, df
-    for d in range(most):
-        n = level.groupBy(KEY).agg(F.count("*").alias("m"), (F.min(Y) == F.max(Y)).alias("flat"))
-        lag = F.greatest(F.lit(1), F.floor(3 * F.sqrt(F.col("m")) / 13)).cast("int")
-        e = centred(level)
-        sums = lag_products(e, 12).join(e.withColumn("s", F.sum("e").over(ordered())).groupBy(KEY).agg(F.sum(F.col("s") ** 2).alias("walk")), KEY).join(n, KEY)
-        spread = F.col("c0") / F.col("n") + sum((F.when(lag >= k, 2.0 / F.col("n") * (1 - k / (lag + 1.0)) * F.col(f"c{k}")).otherwise(0.0) for k in range(1, 13)), F.lit(0.0))
-        p = interpolated(F.col("walk") / (F.col("n") * F.col("n")) / spread, list(zip(KPSS_LEVEL, KPSS_P, strict=True)))
-        verdict = sums.select(KEY, ((p < alpha) & ~F.col("flat")).alias(f"more{d}"))
-        out = verdict if out is None else out.join(verdict, KEY)
-        level = diff(level)
+def _bartlett(products: Column, n: Column, lag: Column) -> Column:
+    """Lag products from lag 1 on, weighed."""
+    return F.transform(F.slice(products, F.lit(1), lag), lambda c, i: 2.0 / n * (1 - (i + 1) / (lag + 1.0)) * c)
+
+
+def n_diffs(df: DataFrame, *, most: int = 2, alpha: float = 0.05, max_lag: int = 12) -> DataFrame:
+    """(series_id, d): how often to difference until the KPSS test accepts, with lag trunc(3 sqrt(n) / 13).
+
+    All levels are columns of one pass: a single shuffle by series, whatever most is.
+    """
+    levels = range(most)
+    rows = df.select(KEY, T, F.col(Y).alias("y0"))
+    for k in levels[1:]:
+        rows = rows.withColumn(f"y{k}", F.col(f"y{k - 1}") - F.lag(f"y{k - 1}").over(ordered()))
+    rows = rows.select("*", *((F.col(f"y{k}") - F.avg(f"y{k}").over(whole())).alias(f"e{k}") for k in levels))
+    rows = rows.select("*", *(F.sum(f"e{k}").over(ordered()).alias(f"s{k}") for k in levels), *(F.lag(f"e{k}", j).over(ordered()).alias(f"e{k}_{j}") for k in levels for j in range(1, max_lag + 1)))
+    sums = rows.groupBy(KEY).agg(
+        *(f for k in levels for f in (F.count(f"y{k}").alias(f"n{k}"), (F.min(f"y{k}") == F.max(f"y{k}")).alias(f"flat{k}"), F.sum(F.col(f"s{k}") ** 2).alias(f"walk{k}"), F.sum(F.col(f"e{k}") ** 2).alias(f"c{k}_0"))),
+        *(F.coalesce(F.sum(F.col(f"e{k}") * F.col(f"e{k}_{j}")), F.lit(0.0)).alias(f"c{k}_{j}") for k in levels for j in range(1, max_lag + 1)),
+    )
+    spreads = []
+    for k in levels:
+        n = F.col(f"n{k}")
+        lag = F.greatest(F.lit(1), F.floor(3 * F.sqrt(n) / 13)).cast("int")
+        products = _bartlett(F.array(*(F.col(f"c{k}_{j}") for j in range(1, max_lag + 1))), n, lag)
+        spreads.append(F.aggregate(products, F.col(f"c{k}_0") / n, lambda total, x: total + x).alias(f"spread{k}"))
+    found = sums.select("*", *spreads)
     d = F.lit(most)
-    for k in reversed(range(most)):
-        d = F.when(~F.col(f"more{k}"), k).otherwise(d)
-    return out.select(KEY, d.cast("int").alias("d"))
+    for k in reversed(levels):
+        found = found.withColumn(f"p{k}", F.when(F.col(f"spread{k}") > 0, F.col(f"walk{k}") / (F.col(f"n{k}") * F.col(f"n{k}")) / F.col(f"spread{k}")))
+        stays = F.col(f"flat{k}") | (interpolated(F.col(f"p{k}"), list(zip(KPSS_LEVEL, KPSS_P, strict=True))) >= alpha)
+        d = F.when(F.coalesce(stays, F.lit(True)), k).otherwise(d)
+    return found.select(KEY, d.cast("int").alias("d"))
 
 
 def portmanteau(df: DataFrame, lags: int, order: int = 0) -> DataFrame:

@@ -140,3 +140,11 @@ def test_roots_and_lambda(spark):
     assert sorted(abs(arma.roots([0.5], -1.0))) == pytest.approx([2.0])
     assert len(arma.roots([], 1.0)) == 0
     assert -0.4 < stats.box_cox_lambda(frame(spark, AIR)).first()["lam"] < 0.3
+
+
+def test_n_diffs(spark):
+    rng = np.random.default_rng(8)
+    noise = rng.normal(size=300)
+    both = frame(spark, noise, "noise").unionByName(frame(spark, noise.cumsum(), "walk")).unionByName(frame(spark, noise.cumsum().cumsum(), "twice")).unionByName(frame(spark, np.ones(50), "flat"))
+    assert {r[0]: r[1] for r in stats.n_diffs(both).collect()} == {"noise": 0, "walk": 1, "twice": 2, "flat": 0}
+    assert stats.n_diffs(frame(spark, np.log(AIR))).first()["d"] == 1
