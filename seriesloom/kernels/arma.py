@@ -165,54 +165,92 @@ def difference(y: np.ndarray, d: int, seasonal_d: int, m: int) -> np.ndarray:
 
 
 class Fitted:
-    """Models of one order for a batch of series [B, n]: phi, theta (expanded), mean, sigma2, log_l, aic, aicc, bic, params."""
+    """Models of one order for a batch of series [B, n]: phi, theta (expanded), coef, mean, sigma2, log_l, aic, aicc, bic, params.
 
-    def __init__(self, y: np.ndarray, order: tuple[int, int, int], seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), mean: bool | None = None, rounds: int = 100):
+    exog [B, n, k] are regressors with ARMA errors; coef [B, r] are the constant (on the differenced scale), if any, and their
+    coefficients. method is css-ml, css (whose log_l leaves out constants, so never compare it with the others') or ml.
+    """
+
+    def __init__(self, y: np.ndarray, order: tuple[int, int, int], seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), mean: bool | None = None, rounds: int = 100, exog: np.ndarray | None = None, method: str = "css-ml", start: np.ndarray | None = None, ridge: float = 0.0):
         (p, d, q), (sp, sd, sq, m) = order, seasonal
-        self.y, self.order, self.seasonal = y, order, seasonal
+        self.y, self.order, self.seasonal, self.exog = y, order, seasonal, exog
         w = difference(y, d, sd, m)
+        if w.shape[1] < 2:
+            raise ValueError("too few values for this order")
         self.with_mean = (d + sd == 0) if mean is None else mean
-        scale = np.maximum(w.std(1), 1e-12)
-        center = w.mean(1)
-        k = p + q + sp + sq
+        self.design = self._columns(exog, len(y), w.shape[1])
+        k, r = p + q + sp + sq, self.design.shape[2]
+        center = np.stack([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(self.design, w, strict=True)]) if r else np.zeros((len(y), 0))
+        scale = np.maximum(w.std(1), 1e-12)[:, None] / np.maximum(np.sqrt((self.design**2).mean(1)), 1e-12)
+        self.blocks = ((0, p, -1.0), (p, p + q, 1.0), (p + q, p + q + sp, -1.0), (p + q + sp, k, 1.0))
 
         def parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-            a, b, c, e = (stationary(x[:, i:j], s) for i, j, s in ((0, p, -1.0), (p, p + q, 1.0), (p + q, p + q + sp, -1.0), (p + q + sp, k, 1.0)))
-            return multiply(a, c, m, -1.0), multiply(b, e, m, 1.0), [a, b, c, e]
+            raw = [stationary(x[:, i:j], s) for i, j, s in self.blocks]
+            return *self.expand(raw), raw
 
         def objective(kind: Callable) -> Callable:
             def value(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
                 phi, theta, _ = parts(np.clip(x[:, :k], -4, 4))
-                z = w[rows] - (center[rows] + x[:, k] * scale[rows])[:, None] if self.with_mean else w[rows]
-                return kind(z, phi, theta)[0]
+                z = w[rows] - np.einsum("bth,bh->bt", self.design[rows], center[rows] + x[:, k:] * scale[rows]) if r else w[rows]
+                found = kind(z, phi, theta)[0]
+                return found + ridge * (x[:, :k] ** 2).sum(1) if ridge else found
 
             return value
 
-        x = np.zeros((len(y), k + self.with_mean))
+        x = np.zeros((len(y), k + r))
         x[:, :k] = 0.1
-        x, _ = minimize(objective(css), x, rounds)
-        x, value = minimize(objective(exact), np.clip(x, -3, 3), rounds)
+        if start is not None:
+            x = start.copy()
+        elif method != "ml":
+            x, value = minimize(objective(css), x, rounds)
+        if method != "css":
+            x, value = minimize(objective(exact), np.clip(x, -3, 3), rounds)
+        self.x = x
         self.phi, self.theta, self.params = parts(np.clip(x[:, :k], -4, 4))
-        self.mean = center + x[:, k] * scale if self.with_mean else np.zeros(len(y))
-        self.w, n = w - self.mean[:, None], w.shape[1]
-        self.sigma2, self.log_l, self.n = exact(self.w, self.phi, self.theta)[1], -value, n
-        count = k + self.with_mean + 1
+        self.coef = center + x[:, k:] * scale
+        self.mean = self.coef[:, 0] if self.with_mean else np.zeros(len(y))
+        self.w, n = w - np.einsum("bth,bh->bt", self.design, self.coef), w.shape[1]
+        if method == "css":
+            self.sigma2 = css(self.w, self.phi, self.theta)[1]
+            self.log_l = -0.5 * n * np.log(self.sigma2)
+        else:
+            value, self.sigma2 = exact(self.w, self.phi, self.theta)
+            self.log_l = -value
+        self.n, self.count = n, k + r + 1
+        count = self.count
         self.aic = 2 * count - 2 * self.log_l
         self.aicc = self.aic + 2 * count * (count + 1) / (n - count - 1) if n - count - 1 > 0 else np.full(len(y), np.inf)
         self.bic = count * np.log(n) - 2 * self.log_l
+        self.hqic = 2 * count * np.log(np.log(n)) - 2 * self.log_l
+
+    def expand(self, raw: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Whole polynomials from the four blocks of coefficients."""
+        m = self.seasonal[3]
+        return multiply(raw[0], raw[2], m, -1.0), multiply(raw[1], raw[3], m, 1.0)
+
+    def _columns(self, exog: np.ndarray | None, rows: int, steps: int) -> np.ndarray:
+        """Regressors on the differenced scale, the constant first; the last steps of them."""
+        (_, d, _), (_, sd, _, m) = self.order, self.seasonal
+        parts = [np.ones((rows, steps, 1))] if self.with_mean else []
+        if exog is not None:
+            parts.append(difference(exog, d, sd, m)[:, -steps:])
+        return np.concatenate(parts, 2) if parts else np.zeros((rows, steps, 0))
 
     def residuals(self) -> np.ndarray:
         return css_residuals(self.w, self.phi, self.theta)
 
-    def forecast(self, h: int, z: float = 1.959963984540054) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """[B, h] points and bounds."""
+    def forecast(self, h: int, z: float = 1.959963984540054, future: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """[B, h] points and bounds; future [B, h, k] are the regressors ahead."""
+        if (self.exog is None) != (future is None):
+            raise ValueError("regressors ahead are needed with exog, and only then")
         (_, d, _), (_, sd, _, m) = self.order, self.seasonal
         p, q, t = self.phi.shape[1], self.theta.shape[1], self.w.shape[1]
         w = np.concatenate([self.w, np.zeros((len(self.w), h))], 1)
         e = np.concatenate([self.residuals(), np.zeros((len(self.w), h))], 1)
         for i in range(t, t + h):
             w[:, i] = sum((self.phi[:, j] * w[:, i - j - 1] for j in range(min(p, i))), np.zeros(len(w))) + sum((self.theta[:, j] * e[:, i - j - 1] for j in range(min(q, i))), np.zeros(len(w)))
-        ahead = w[:, t:] + self.mean[:, None]
+        both = None if future is None else np.concatenate([self.exog, future], 1)
+        ahead = w[:, t:] + np.einsum("bth,bh->bt", self._columns(both, len(w), h), self.coef)
         levels = [self.y]
         for lag in [1] * d + [m] * sd:
             levels.append(levels[-1][:, lag:] - levels[-1][:, :-lag])
@@ -250,14 +288,14 @@ def integrated_psi(phi: np.ndarray, theta: np.ndarray, h: int, lags: list[int])
     return psi
 
 
-def sample_paths(model: Fitted, h: int, n: int, keys: list[int], seed: int = 0, gaussian: bool = False) -> np.ndarray:
+def sample_paths(model: Fitted, h: int, n: int, keys: list[int], seed: int = 0, gaussian: bool = False, future: np.ndarray | None = None) -> np.ndarray:
     """[B, n, h] forecasts with resampled residuals (those that aren't zero) or normal shocks.
 
     Each series draws from a generator of its own key, so paths don't depend on how series are batched.
     """
     (_, d, _), (_, sd, _, m) = model.order, model.seasonal
     psi = integrated_psi(model.phi, model.theta, h, [1] * d + [m] * sd)
-    point, e, out = model.forecast(h)[0], model.residuals(), np.empty((len(model.y), n, h))
+    point, e, out = model.forecast(h, future=future)[0], model.residuals(), np.empty((len(model.y), n, h))
     for i, key in enumerate(keys):
         rng = np.random.Generator(np.random.Philox(key=[seed, key % 2**64]))
         pool = e[i][e[i] != 0]
@@ -265,3 +303,166 @@ def sample_paths(model: Fitted, h: int, n: int, keys: list[int], seed: int = 0,
         spread = np.array([[psi[i, b - a] if b >= a else 0.0 for b in range(h)] for a in range(h)])
         out[i] = point[i] + shocks @ spread
     return out
+
+
+def names(model: Fitted) -> list[str]:
+    """What the displayed coefficients are called, in the order of :func:`displayed`."""
+    (p, _, q), (sp, _, sq, _) = model.order, model.seasonal
+    out = [f"{kind}{i + 1}" for kind, n in (("ar", p), ("ma", q), ("sar", sp), ("sma", sq)) for i in range(n)]
+    return out + (["intercept"] if model.with_mean else []) + [f"beta{i + 1}" for i in range(model.coef.shape[1] - model.with_mean)]
+
+
+def displayed(model: Fitted) -> np.ndarray:
+    """[B, k] coefficients of the four blocks, the constant and the regressors."""
+    return np.concatenate([*model.params, model.coef], 1)
+
+
+def standard_errors(model: Fitted, eps: float = 1e-4) -> np.ndarray:
+    """[B, k] from the numerical Hessian of the exact likelihood at the displayed coefficients; NaN where it can't be inverted."""
+    at = displayed(model)
+    n, k = at.shape
+    w = difference(model.y, model.order[1], model.seasonal[1], model.seasonal[3])
+
+    def value(points: np.ndarray) -> np.ndarray:
+        """points [B, P, k] to [B, P]."""
+        flat, rows = points.reshape(-1, k), np.repeat(np.arange(n), points.shape[1])
+        raw = [flat[:, i:j] for i, j, _ in model.blocks]
+        z = w[rows] - np.einsum("bth,bh->bt", model.design[rows], flat[:, model.blocks[3][1] :])
+        return exact(z, *model.expand(raw))[0].reshape(n, -1)
+
+    step = eps * np.eye(k)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    corners = np.stack([a * step[i] + b * step[j] for i, j in pairs for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1))]) if k else np.zeros((0, 0))
+    out = np.full((n, k), np.nan)
+    if not k:
+        return out
+    f = value(at[:, None] + corners[None]).reshape(n, -1, 4)
+    slopes = (f[..., 0] - f[..., 1] - f[..., 2] + f[..., 3]) / (4 * eps * eps)
+    for b in range(n):
+        hessian = np.zeros((k, k))
+        for (i, j), s in zip(pairs, slopes[b], strict=True):
+            hessian[i, j] = hessian[j, i] = s
+        try:
+            spread = np.linalg.inv(hessian).diagonal()
+        except np.linalg.LinAlgError:
+            continue
+        out[b] = np.sqrt(np.where(spread > 0, spread, np.nan))
+    return out
+
+
+def pi_weights(model: Fitted, n: int) -> np.ndarray:
+    """[B, n] weights of the innovations as a sum over past values, differencing included."""
+    (_, d, _), (_, sd, _, m) = model.order, model.seasonal
+    a = np.concatenate([np.ones((len(model.phi), 1)), -model.phi], 1)
+    for lag in [1] * d + [m] * sd:
+        a = np.concatenate([a, np.zeros((len(a), lag))], 1) - np.concatenate([np.zeros((len(a), lag)), a], 1)
+    out = np.zeros((len(a), n))
+    out[:, : min(n, a.shape[1])] = a[:, :n]
+    for k in range(1, n):
+        q = min(model.theta.shape[1], k)
+        out[:, k] -= (model.theta[:, :q] * out[:, k - q : k][:, ::-1]).sum(1)
+    return out
+
+
+def simulate(model: Fitted, n: int, draws: int, keys: list[int], seed: int = 0, burn: int = 100, exog: np.ndarray | None = None) -> np.ndarray:
+    """[B, draws, n] with normal shocks and no history: burn values go first, and sums start from zero."""
+    (_, d, _), (_, sd, _, m) = model.order, model.seasonal
+    size, b = n + burn, len(model.phi)
+    e = np.stack([np.random.Generator(np.random.Philox(key=[seed, key % 2**64])).normal(0, np.sqrt(model.sigma2[i]), (draws, size)) for i, key in enumerate(keys)])
+    p, q, w = model.phi.shape[1], model.theta.shape[1], np.zeros((b, draws, size))
+    for t in range(size):
+        i, j = min(p, t), min(q, t)
+        w[..., t] = e[..., t] + (model.phi[:, None, :i] * w[..., t - i : t][..., ::-1]).sum(2) + (model.theta[:, None, :j] * e[..., t - j : t][..., ::-1]).sum(2)
+    w = w[..., burn:]
+    if model.with_mean:
+        w = w + model.mean[:, None, None]
+    for lag in [1] * d + [m] * sd:
+        for t in range(lag, n):
+            w[..., t] += w[..., t - lag]
+    if exog is not None:
+        w = w + np.einsum("bth,bh->bt", exog, model.coef[:, model.with_mean :])[:, None]
+    return w
+
+
+def parameter_bootstrap(model: Fitted, keys: list[int], draws: int = 200, seed: int = 0, rounds: int = 50) -> np.ndarray:
+    """[B, draws, k] displayed coefficients of models fitted to simulated series; NaN where a likelihood failed."""
+    if draws < 10:
+        raise ValueError("10 draws are the least")
+    n = model.y.shape[1]
+    y = simulate(model, n, draws, keys, seed, exog=model.exog).reshape(-1, n)
+    exog = None if model.exog is None else np.repeat(model.exog, draws, 0)
+    again = Fitted(y, model.order, model.seasonal, model.with_mean, rounds, exog)
+    found = np.where((again.log_l > -1e299)[:, None], displayed(again), np.nan)
+    return found.reshape(len(model.y), draws, -1)
+
+
+def bias_corrected(model: Fitted, sampled: np.ndarray) -> np.ndarray:
+    """[B, k] twice the coefficients less their bootstrap mean; those of the ARMA blocks stay within 0.99 of zero."""
+    out = 2 * displayed(model) - np.nanmean(sampled, 1)
+    k = model.blocks[3][1]
+    out[:, :k] = np.clip(out[:, :k], -0.99, 0.99)
+    return out
+
+
+def signatures(pi: np.ndarray, kinds: tuple[str, ...], delta: float) -> dict[str, np.ndarray]:
+    """[B, n] for each kind of outlier: what it leaves in the innovations from its own time on."""
+    fading = pi.copy()
+    for k in range(1, pi.shape[1]):
+        fading[:, k] += delta * fading[:, k - 1]
+    impulse = np.zeros_like(pi)
+    impulse[:, 0] = 1
+    return {kind: {"AO": pi, "LS": np.cumsum(pi, 1), "TC": fading, "IO": impulse}[kind] for kind in kinds}
+
+
+def outliers(y: np.ndarray, order: tuple[int, int, int] = (0, 1, 1), seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), kinds: tuple[str, ...] = ("AO", "LS"), critical: float | None = None, most: int = 5, delta: float = 0.7) -> list[list[tuple[int, str, float, float]]]:
+    """For each series its outliers (place, kind, effect, size of the t statistic) in the order found.
+
+    A round fits the models, projects their residuals on each signature at each place, and makes the largest beyond critical
+    (3.5 below 200 values, then 4) a regressor. Effects are the last fit's. Series in one round have equally many regressors.
+    """
+    b, n = y.shape
+    if n < 10:
+        raise ValueError("10 values are the least")
+    critical = critical or (3.5 if n < 200 else 4.0)
+    lost = order[1] + seasonal[1] * seasonal[3]
+    found: list[list] = [[] for _ in range(b)]
+    live, columns = np.arange(b), np.zeros((b, n, 0))
+    for turn in range(most + 1):
+        if not len(live):
+            break
+        model = Fitted(y[live], order, seasonal, exog=columns[live] if turn else None)
+        offset = model.coef.shape[1] - turn
+        for row, i in enumerate(live):
+            found[i] = [(t, kind, float(model.coef[row, offset + j]), size) for j, (t, kind, _, size) in enumerate(found[i])]
+        if turn == most:
+            break
+        e = np.zeros((len(live), n))
+        e[:, lost:] = model.residuals()
+        width = 2 * n
+        spectrum = np.fft.rfft(e, width, axis=1)
+        psi = integrated_psi(model.phi, model.theta, n, [1] * order[1] + [seasonal[3]] * seasonal[1])
+        best: list[tuple] = [(critical, -1, "")] * len(live)
+        for kind, shape in signatures(pi_weights(model, n), kinds, delta).items():
+            num = np.fft.irfft(spectrum * np.conj(np.fft.rfft(shape, width, axis=1)), width, axis=1)[:, :n]
+            den = np.cumsum(shape**2, 1)[:, ::-1]
+            size = np.abs(num) / np.sqrt(np.maximum(den, 1e-300)) / np.sqrt(model.sigma2)[:, None]
+            size[:, :lost] = 0
+            if kind == "LS":
+                size[:, max(n - 2, lost + 1) :] = 0
+            for row, i in enumerate(live):
+                for t, other, _, _ in found[i]:
+                    if other == kind:
+                        size[row, t] = 0
+                t = int(size[row].argmax())
+                if size[row, t] > best[row][0]:
+                    best[row] = (float(size[row, t]), t, kind)
+        new = np.zeros((b, n, 1))
+        for row, i in enumerate(live):
+            size, t, kind = best[row]
+            if t >= 0:
+                after = np.arange(n - t)
+                new[i, t:, 0] = {"AO": (after == 0) * 1.0, "LS": np.ones(n - t), "TC": delta**after, "IO": psi[row, : n - t]}[kind]
+                found[i].append((t, kind, 0.0, size))
+        live = live[[x[1] >= 0 for x in best]]
+        columns = np.concatenate([columns, new], 2)
+    return found

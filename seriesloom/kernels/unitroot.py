@@ -6,6 +6,9 @@ import math
 
 import numpy as np
 
+# Critical values of the KPSS test round a level and their levels.
+KPSS_LEVEL = (0.347, 0.463, 0.574, 0.739)
+KPSS_P = (0.10, 0.05, 0.025, 0.01)
 # Dickey-Fuller critical values by sample size (rows) and level (columns), without and with a trend.
 SIZES = (25, 50, 100, 250, 500, 100000)
 LEVELS = (0.01, 0.025, 0.05, 0.10, 0.90, 0.95, 0.975, 0.99)
@@ -25,11 +28,24 @@ TREND = (
     (-3.98, -3.68, -3.42, -3.13, -1.24, -0.93, -0.65, -0.32),
     (-3.96, -3.66, -3.41, -3.12, -1.25, -0.94, -0.66, -0.33),
 )
+# Those of the coefficient form with a trend.
+ALPHA = (
+    (-22.5, -19.9, -17.9, -15.6, -3.66, -2.51, -1.53, -0.43),
+    (-25.7, -22.4, -19.8, -16.8, -3.71, -2.60, -1.66, -0.65),
+    (-27.4, -23.6, -20.7, -17.5, -3.74, -2.62, -1.73, -0.75),
+    (-28.4, -24.4, -21.3, -18.0, -3.75, -2.64, -1.78, -0.82),
+    (-28.9, -24.8, -21.5, -18.1, -3.76, -2.65, -1.78, -0.84),
+    (-29.5, -25.1, -21.8, -18.3, -3.77, -2.66, -1.79, -0.87),
+)
 
 
 def dickey_fuller_p(stat: float, n: int, trend: bool) -> float:
     """The level of a statistic: linear in the sample size, then in the statistic, and cut off at the table's ends."""
-    table = np.array(TREND if trend else DRIFT)
+    return table_p(stat, n, TREND if trend else DRIFT)
+
+
+def table_p(stat: float, n: int, values: tuple) -> float:
+    table = np.array(values)
     row = [np.interp(n, SIZES, column) for column in table.T]
     return float(np.interp(stat, row, LEVELS))
 
@@ -69,6 +85,43 @@ def pp(y: np.ndarray, trend: bool = False, short: bool = True) -> tuple[float, f
     return float(stat), dickey_fuller_p(float(stat), n, trend)
 
 
+def pp_alpha(y: np.ndarray, short: bool = True) -> tuple[float, float]:
+    """Statistic and level of the Phillips-Perron test in its coefficient form, with a trend."""
+    now, before = y[1:], y[:-1]
+    n = len(now)
+    x = np.stack([np.ones(n), np.arange(1, n + 1) - n / 2, before], 1)
+    beta, _, e = regress(x, now)
+    inner, outer = float(e @ e / n), long_run(e, int((4 if short else 12) * (n / 100) ** 0.25))
+    # n^6 / (24 D) with D the determinant of the moments of 1, t and the lagged series, which is that of X'X n / 12 times n (n² - 1)
+    detrended = before - np.polyval(np.polyfit(np.arange(n), before, 1), np.arange(n))
+    moment = n * n * (n * n - 1) / 12 * float(detrended @ detrended)
+    stat = n * (beta[-1] - 1) - n**6 / (24 * moment) * (outer - inner)
+    return float(stat), table_p(float(stat), n, ALPHA)
+
+
+def kpss(y: np.ndarray, lag: int) -> float:
+    """The level statistic with Bartlett weights."""
+    e, n = y - y.mean(), len(y)
+    spread = long_run(e, min(lag, n - 1))
+    return float((np.cumsum(e) ** 2).sum() / n**2 / spread) if spread > 0 else float("nan")
+
+
+def n_diffs(y: np.ndarray, most: int = 2, alpha: float = 0.05, test: str = "kpss") -> int:
+    """How often to difference until the test (kpss, adf or pp) is content; a constant is."""
+    for d in range(most):
+        if len(y) < 4 or np.ptp(y) == 0:
+            return d
+        if test == "kpss":
+            stat = kpss(y, max(1, int(3 * np.sqrt(len(y)) / 13)))
+            need = np.interp(stat, KPSS_LEVEL, KPSS_P) < alpha
+        else:
+            need = {"adf": adf, "pp": pp}[test](y)[1] > alpha
+        if not need:
+            return d
+        y = np.diff(y)
+    return most
+
+
 def moving_average(x: np.ndarray, k: int) -> np.ndarray:
     """NaN where the window doesn't fit or holds a NaN; the window starts k // 2 before."""
     out = np.full(len(x), np.nan)
