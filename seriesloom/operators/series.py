@@ -27,9 +27,11 @@ def densify(df: DataFrame, fill: float | None = None) -> DataFrame:
     return full if fill is None else full.withColumn(Y, F.coalesce(Y, F.lit(fill)))
 
 
-def pack(df: DataFrame) -> DataFrame:
-    """(series_id, ys): each series as an array in order."""
-    return df.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct(T, Y))), lambda x: x[Y]).alias("ys"))
+def pack(df: DataFrame, exog: list[str] | None = None) -> DataFrame:
+    """(series_id, ys): each series as an array in order; with exog also xs, an array of regressors for each place."""
+    x = [F.array(*(F.col(c).cast("double") for c in exog)).alias("x")] if exog else []
+    rows = df.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(T, Y, *x))).alias("_rows"))
+    return rows.select(KEY, F.transform("_rows", lambda r: r[Y]).alias("ys"), *([F.transform("_rows", lambda r: r["x"]).alias("xs")] if exog else []))
 
 
 def diff(df: DataFrame, lag: int = 1, times: int = 1, column: str = Y) -> DataFrame:

@@ -1,82 +1,263 @@
-"""Fits and forecasts of many series: rows of one length and order are fitted together in a task, in lock step."""
+"""Fits and forecasts of many series: series of one length and order in a task are fitted together, in lock step.
+
+Rows are shuffled once, by series; what follows is a map over the packed series, so nothing is counted or shuffled again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.stats import candidate_grid, n_diffs
+from seriesloom.kernels import arma, auto, seasonal as tests, unitroot
 from seriesloom.kernels.arma import Fitted
 from seriesloom.operators.series import KEY, pack
 
-#: Series and candidates that a task fits together.
+#: Series and candidates that are fitted together at most.
 BATCH = 256
 
-MODEL = f"{KEY} string, p int, d int, q int, sp int, sd int, sq int, m int, phi array<double>, theta array<double>, mean double, sigma2 double, log_l double, nobs int, aic double, aicc double, bic double"
+Order, Seasonal = tuple[int, int, int], tuple[int, int, int, int]
+NONE: Seasonal = (0, 0, 0, 1)
+MODEL = f"{KEY} string, p int, d int, q int, sp int, sd int, sq int, m int, phi array<double>, theta array<double>, mean double, beta array<double>, sigma2 double, log_l double, nobs int, aic double, aicc double, bic double"
 FORECAST = f"{KEY} string, h int, forecast double, lower double, upper double"
 
 
-def _grouped(df: DataFrame, orders: DataFrame | None = None) -> DataFrame:
-    """Packed series with the number of a batch: those of one length go together, BATCH at a time or so."""
-    packed = pack(df).withColumn("n", F.size("ys"))
-    total = packed.count()
-    return packed.withColumn("batch", F.pmod(F.xxhash64(KEY), F.lit(max(1, total // BATCH))).cast("int"))
+def _packed(df: DataFrame, exog: list[str] | None = None) -> DataFrame:
+    """Packed series and their lengths, spread by series over as many partitions as shuffles have (a fit costs more than its bytes say)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pack(df.repartition(n, KEY), exog).withColumn("n", F.size("ys"))
+
+
+def _mapped(packed: DataFrame, run: Callable, schema: str, by: tuple[str, ...] = ("n",)) -> DataFrame:
+    """run of rows alike in by, BATCH at a time."""
+
+    def each(frames):
+        for frame in frames:
+            for _, rows in frame.groupby(list(by), sort=False):
+                for at in range(0, len(rows), BATCH):
+                    yield run(rows.iloc[at : at + BATCH])
+
+    return packed.mapInPandas(each, schema)
 
 
-def fit(df: DataFrame, order: tuple[int, int, int], seasonal: tuple[int, int, int, int] = (0, 0, 0, 1)) -> DataFrame:
-    """One model row for each series."""
+def _values(rows: pd.DataFrame) -> np.ndarray:
+    return np.stack(rows["ys"].to_numpy()).astype(float)
+
+
+def _regressors(rows: pd.DataFrame, column: str = "xs") -> np.ndarray | None:
+    return np.stack([np.stack(x) for x in rows[column]]).astype(float) if column in rows else None
+
+
+def fit(df: DataFrame, order: Order, seasonal: Seasonal = NONE, *, exog: list[str] | None = None, mean: bool | None = None, method: str = "css-ml") -> DataFrame:
+    """One model row for each series; exog names columns of regressors with ARMA errors."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model = Fitted(np.stack(rows["ys"].to_numpy()), order, seasonal)
-        return _models(rows[KEY].to_numpy(), model)
+        return _models(rows[KEY].to_numpy(), Fitted(_values(rows), order, seasonal, mean, exog=_regressors(rows), method=method))
 
-    return _grouped(df).groupBy("n", "batch").applyInPandas(run, MODEL)
+    return _mapped(_packed(df, exog), run, MODEL)
 
 
 def _models(keys, model: Fitted) -> pd.DataFrame:
     (p, d, q), (sp, sd, sq, m) = model.order, model.seasonal
-    return pd.DataFrame({KEY: keys, "p": p, "d": d, "q": q, "sp": sp, "sd": sd, "sq": sq, "m": m, "phi": list(model.phi), "theta": list(model.theta), "mean": model.mean, "sigma2": model.sigma2, "log_l": model.log_l, "nobs": model.n, "aic": model.aic, "aicc": model.aicc, "bic": model.bic})
+    return pd.DataFrame({KEY: keys, "p": p, "d": d, "q": q, "sp": sp, "sd": sd, "sq": sq, "m": m, "phi": list(model.phi), "theta": list(model.theta), "mean": model.mean, "beta": list(model.coef[:, model.with_mean :]), "sigma2": model.sigma2, "log_l": model.log_l, "nobs": model.n, "aic": model.aic, "aicc": model.aicc, "bic": model.bic})
+
 
+def _forecasts(keys, bands: tuple[np.ndarray, ...]) -> pd.DataFrame:
+    h = bands[0].shape[1]
+    return pd.DataFrame({KEY: np.repeat(keys, h), "h": np.tile(np.arange(1, h + 1), len(keys)), **{c: x.ravel() for c, x in zip(("forecast", "lower", "upper"), bands, strict=True)}})
 
-def forecast(df: DataFrame, order: tuple[int, int, int], seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), h: int = 12) -> DataFrame:
-    """(series_id, h, forecast, lower, upper) for each series."""
+
+def forecast(df: DataFrame, order: Order, seasonal: Seasonal = NONE, h: int = 12, *, exog: list[str] | None = None, future: DataFrame | None = None, mean: bool | None = None) -> DataFrame:
+    """(series_id, h, forecast, lower, upper). With exog, future has (series_id, t, exog) for the h places after each series."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        bands = Fitted(np.stack(rows["ys"].to_numpy()), order, seasonal).forecast(h)
-        return pd.DataFrame({KEY: np.repeat(rows[KEY].to_numpy(), h), "h": np.tile(np.arange(1, h + 1), len(rows)), **{c: x.ravel() for c, x in zip(("forecast", "lower", "upper"), bands, strict=True)}})
+        model = Fitted(_values(rows), order, seasonal, mean, exog=_regressors(rows))
+        return _forecasts(rows[KEY].to_numpy(), model.forecast(h, future=_regressors(rows, "ahead")))
 
-    return _grouped(df).groupBy("n", "batch").applyInPandas(run, FORECAST)
+    packed = _packed(df, exog)
+    if exog:
+        ahead = pack(future.withColumn("y", F.lit(0.0)), exog).select(KEY, F.slice("xs", 1, h).alias("ahead"))
+        packed = packed.join(ahead, KEY)
+    return _mapped(packed, run, FORECAST)
 
 
 def search(df: DataFrame, *, most_p: int = 3, most_q: int = 3, most_order: int = 5, criterion: str = "aicc") -> DataFrame:
     """The best model row of each series over all (p, q) in the box, differenced as the KPSS test says.
 
-    Candidates are rows: each task fits one order to a batch of series of one length and one d.
+    Candidates are rows: one order is fitted to many series of one length and one d.
     """
     grid = candidate_grid(df.sparkSession, most_p, most_q, 0, 0, most_order)
-    ready = _grouped(df).join(n_diffs(df), KEY).join(F.broadcast(grid.select("p", "q")))
+    ready = _packed(df).join(n_diffs(df), KEY).join(F.broadcast(grid.select("p", "q")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         p, d, q = (int(rows[c].iloc[0]) for c in ("p", "d", "q"))
-        return _models(rows[KEY].to_numpy(), Fitted(np.stack(rows["ys"].to_numpy()), (p, d, q)))
+        return _models(rows[KEY].to_numpy(), Fitted(_values(rows), (p, d, q)))
 
-    fitted = ready.groupBy("n", "batch", "p", "d", "q").applyInPandas(run, MODEL)
+    fitted = _mapped(ready, run, MODEL, ("n", "p", "d", "q"))
     best = F.min_by(F.struct(*[c for c in fitted.columns if c != KEY]), F.struct(criterion, "p", "q"))
     return fitted.groupBy(KEY).agg(best.alias("x")).select(KEY, "x.*")
 
 
-def bootstrap(df: DataFrame, order: tuple[int, int, int], seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), *, h: int = 12, n: int = 1000, seed: int = 0, gaussian: bool = False) -> DataFrame:
+def _chosen(rows: pd.DataFrame, options: auto.Options) -> list[tuple[np.ndarray, auto.Found]]:
+    """Rows that were given one order, and that order."""
+    found = auto.search(_values(rows), options, _regressors(rows))
+    groups: dict[tuple, list[int]] = {}
+    for i, f in enumerate(found):
+        if f is not None:
+            groups.setdefault((f.order, f.seasonal, f.constant), []).append(i)
+    return [(np.array(at), found[at[0]]) for at in groups.values()]
+
+
+def auto_arima(df: DataFrame, options: auto.Options = auto.Options(), *, exog: list[str] | None = None) -> DataFrame:
+    """One model row for each series, its orders found by a stepwise or full search. Series without any model are left out.
+
+    A search is a map over series: steps of one series don't wait for others' and no table is made for each step.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for at, f in _chosen(rows, options):
+            some = rows.iloc[at]
+            parts.append(_models(some[KEY].to_numpy(), Fitted(_values(some), f.order, f.seasonal, f.constant, exog=_regressors(some))))
+        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in MODEL.split(", ")})
+
+    return _mapped(_packed(df, exog), run, MODEL)
+
+
+def search_trace(df: DataFrame, options: auto.Options = auto.Options()) -> DataFrame:
+    """(series_id, p, q, sp, sq, constant, score): every candidate of :func:`auto_arima`; score is null where its fit failed."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = auto.search(_values(rows), options)
+        out = [(key, *c, None if np.isnan(v) else v) for key, f in zip(rows[KEY], found, strict=True) if f for c, v in f.tried.items()]
+        return pd.DataFrame(out, columns=[KEY, "p", "q", "sp", "sq", "constant", "score"])
+
+    return _mapped(_packed(df), run, f"{KEY} string, p int, q int, sp int, sq int, constant boolean, score double")
+
+
+def auto_forecast(df: DataFrame, h: int, options: auto.Options = auto.Options()) -> DataFrame:
+    """(series_id, h, forecast, lower, upper) of each series' own orders."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for at, f in _chosen(rows, options):
+            some = rows.iloc[at]
+            parts.append(_forecasts(some[KEY].to_numpy(), Fitted(_values(some), f.order, f.seasonal, f.constant).forecast(h)))
+        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in FORECAST.split(", ")})
+
+    return _mapped(_packed(df), run, FORECAST)
+
+
+def update(df: DataFrame, new: DataFrame, order: Order, seasonal: Seasonal = NONE, *, rounds: int = 25) -> DataFrame:
+    """Model rows of df's series with new's later rows appended: a fit to df starts a short one to both."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y, old = _values(rows), int(rows["old"].iloc[0])
+        start = Fitted(y[:, :old], order, seasonal).x if old >= 10 else None
+        return _models(rows[KEY].to_numpy(), Fitted(y, order, seasonal, rounds=rounds, start=start))
+
+    both = df.select(KEY, "t", "y", F.lit(0).alias("late")).unionByName(new.select(KEY, "t", "y", F.lit(1).alias("late")))
+    packed = _packed(both, ["late"]).withColumn("old", F.size(F.filter("xs", lambda x: x[0] == 0))).drop("xs")
+    return _mapped(packed, run, MODEL, ("n", "old"))
+
+
+def residuals(df: DataFrame, order: Order, seasonal: Seasonal = NONE) -> DataFrame:
+    """(series_id, t, fitted, resid) in the sample, t counted from 0; the values that differencing takes have none."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y = _values(rows)
+        model = Fitted(y, order, seasonal)
+        e = model.residuals()
+        n, lost = y.shape[1], y.shape[1] - e.shape[1]
+        return pd.DataFrame({KEY: np.repeat(rows[KEY].to_numpy(), n - lost), "t": np.tile(np.arange(lost, n), len(rows)), "fitted": (y[:, lost:] - e).ravel(), "resid": e.ravel()})
+
+    return _mapped(_packed(df), run, f"{KEY} string, t int, fitted double, resid double")
+
+
+def summary(df: DataFrame, order: Order, seasonal: Seasonal = NONE, *, exog: list[str] | None = None) -> DataFrame:
+    """(series_id, name, value, std_error, z, p): each coefficient and its error from the likelihood's Hessian."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        model = Fitted(_values(rows), order, seasonal, exog=_regressors(rows))
+        value, error, names = arma.displayed(model), arma.standard_errors(model), arma.names(model)
+        return pd.DataFrame({KEY: np.repeat(rows[KEY].to_numpy(), len(names)), "name": names * len(rows), "value": value.ravel(), "std_error": error.ravel()})
+
+    from seriesloom.functions.stats import erfc
+
+    found = _mapped(_packed(df, exog), run, f"{KEY} string, name string, value double, std_error double")
+    found = found.withColumn("std_error", F.when(~F.isnan("std_error"), F.col("std_error"))).withColumn("z", F.col("value") / F.col("std_error"))
+    return found.withColumn("p", erfc(F.abs("z") / 2**0.5))
+
+
+def characteristic_roots(models: DataFrame) -> DataFrame:
+    """(series_id, least_ar, least_ma, stationary, invertible) of model rows: the least size of roots, infinite where there are none."""
+
+    def each(frames):
+        for rows in frames:
+            least = [[np.abs(r).min() if len(r := arma.roots(c, sign)) else np.inf for c in rows[column]] for column, sign in (("phi", -1.0), ("theta", 1.0))]
+            yield pd.DataFrame({KEY: rows[KEY], "least_ar": least[0], "least_ma": least[1]})
+
+    found = models.select(KEY, "phi", "theta").mapInPandas(each, f"{KEY} string, least_ar double, least_ma double")
+    return found.withColumn("stationary", F.col("least_ar") > 1).withColumn("invertible", F.col("least_ma") > 1)
+
+
+def outliers(df: DataFrame, order: Order = (0, 1, 1), seasonal: Seasonal = NONE, *, kinds: tuple[str, ...] = ("AO", "LS"), critical: float | None = None, most: int = 5, delta: float = 0.7) -> DataFrame:
+    """(series_id, t, kind, effect, size) in places counted from 0; kinds are AO, LS, TC and IO."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = arma.outliers(_values(rows), order, seasonal, kinds, critical, most, delta)
+        return pd.DataFrame([(key, *x) for key, one in zip(rows[KEY], found, strict=True) for x in one], columns=[KEY, "t", "kind", "effect", "size"])
+
+    return _mapped(_packed(df).filter("n >= 10"), run, f"{KEY} string, t int, kind string, effect double, size double")
+
+
+def simulate(df: DataFrame, order: Order, seasonal: Seasonal = NONE, *, n: int, draws: int = 1, seed: int = 0) -> DataFrame:
+    """(series_id, sim, t, y): series drawn from the model fitted to each, with normal shocks."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y = arma.simulate(Fitted(_values(rows), order, seasonal), n, draws, [int(k) for k in rows["key"]], seed)
+        return pd.DataFrame({KEY: np.repeat(rows[KEY].to_numpy(), draws * n), "sim": np.tile(np.repeat(np.arange(draws), n), len(rows)), "t": np.tile(np.arange(n), draws * len(rows)), "y": y.ravel()})
+
+    return _mapped(_packed(df).withColumn("key", F.xxhash64(KEY)), run, f"{KEY} string, sim int, t int, y double")
+
+
+def parameter_bootstrap(df: DataFrame, order: Order, seasonal: Seasonal = NONE, *, draws: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(series_id, name, value, corrected, mean, std_error, lower, upper) from refits to simulated series.
+
+    corrected is twice the coefficient less the mean, within 0.99 of zero for ARMA coefficients. A series of which half the
+    refits fail has nulls.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for at in range(0, len(rows), max(1, 4096 // draws)):
+            some = rows.iloc[at : at + max(1, 4096 // draws)]
+            model = Fitted(_values(some), order, seasonal)
+            sampled = arma.parameter_bootstrap(model, [int(k) for k in some["key"]], draws, seed)
+            sampled[np.isnan(sampled).any(2).mean(1) > 0.5] = np.nan
+            with np.errstate(all="ignore"):
+                low, high = np.nanquantile(sampled, [alpha / 2, 1 - alpha / 2], axis=1)
+                found = {"value": arma.displayed(model), "corrected": arma.bias_corrected(model, sampled), "mean": np.nanmean(sampled, 1), "std_error": np.nanstd(sampled, 1, ddof=1), "lower": low, "upper": high}
+            names = arma.names(model)
+            parts.append(pd.DataFrame({KEY: np.repeat(some[KEY].to_numpy(), len(names)), "name": names * len(some), **{c: x.ravel() for c, x in found.items()}}))
+        return pd.concat(parts)
+
+    return _mapped(_packed(df).withColumn("key", F.xxhash64(KEY)), run, f"{KEY} string, name string, value double, corrected double, mean double, std_error double, lower double, upper double")
+
+
+def bootstrap(df: DataFrame, order: Order, seasonal: Seasonal = NONE, *, h: int = 12, n: int = 1000, seed: int = 0, gaussian: bool = False) -> DataFrame:
     """(series_id, sim, h, value): sampled forecast paths; summarise with functions.stats.path_summary."""
-    from seriesloom.kernels.arma import sample_paths
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [int(k) for k in rows["key"]]
-        paths = sample_paths(Fitted(np.stack(rows["ys"].to_numpy()), order, seasonal), h, n, keys, seed, gaussian)
+        paths = arma.sample_paths(Fitted(_values(rows), order, seasonal), h, n, keys, seed, gaussian)
         return pd.DataFrame({KEY: np.repeat(rows[KEY].to_numpy(), n * h), "sim": np.tile(np.repeat(np.arange(n), h), len(rows)), "h": np.tile(np.arange(1, h + 1), n * len(rows)), "value": paths.ravel()})
 
-    return _grouped(df).withColumn("key", F.xxhash64(KEY)).groupBy("n", "batch").applyInPandas(run, f"{KEY} string, sim int, h int, value double")
+    return _mapped(_packed(df).withColumn("key", F.xxhash64(KEY)), run, f"{KEY} string, sim int, h int, value double")
 
 
 def cross_validate(df: DataFrame, folds: DataFrame, order: tuple[int, int, int], seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), *, horizon: int) -> DataFrame:
@@ -92,35 +273,73 @@ def cross_validate(df: DataFrame, folds: DataFrame, order: tuple[int, int, int],
     return errors(test.join(pred, ["name", "h"]), KEY, "fold")
 
 
-def per_series(df: DataFrame, function, columns: list[str]) -> DataFrame:
-    """(series_id, columns): function(values) gives a number for each column; series go to tasks a batch at a time."""
+def per_series(df: DataFrame, function: Callable, columns: list[str]) -> DataFrame:
+    """(series_id, columns): function(values) gives a number for each column."""
+    return per_batch(df, lambda y: np.array([function(x) for x in y], float).reshape(len(y), len(columns)), columns)
+
+
+def per_batch(df: DataFrame, function: Callable, columns: list[str], least: int = 1) -> DataFrame:
+    """(series_id, columns): function([B, n]) gives [B, columns] for series of one length; those below least are left out. NaN is null."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = np.array([function(np.asarray(y, float)) for y in rows["ys"]], float).reshape(len(rows), len(columns))
+        found = np.asarray(function(_values(rows)), float).reshape(len(rows), len(columns))
         return pd.DataFrame({KEY: rows[KEY].to_numpy(), **{c: found[:, i] for i, c in enumerate(columns)}})
 
-    return _grouped(df).groupBy("n", "batch").applyInPandas(run, ", ".join([f"{KEY} string", *(f"{c} double" for c in columns)]))
+    out = _mapped(_packed(df).filter(F.col("n") >= least), run, ", ".join([f"{KEY} string", *(f"{c} double" for c in columns)]))
+    return out.select(KEY, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns))
 
 
 def adf(df: DataFrame, *, lags: int | None = None, trend: bool = False, alpha: float = 0.05) -> DataFrame:
-    from seriesloom.kernels import unitroot
-
     return per_series(df, lambda y: unitroot.adf(y, lags, trend), ["stat", "p"]).withColumn("diff", F.col("p") > alpha)
 
 
-def pp(df: DataFrame, *, trend: bool = False, short: bool = True, alpha: float = 0.05) -> DataFrame:
-    from seriesloom.kernels import unitroot
-
-    return per_series(df, lambda y: unitroot.pp(y, trend, short), ["stat", "p"]).withColumn("diff", F.col("p") > alpha)
+def pp(df: DataFrame, *, trend: bool = False, short: bool = True, coefficient: bool = False, alpha: float = 0.05) -> DataFrame:
+    """The test in its t form, or in its coefficient form (which has a trend)."""
+    test = (lambda y: unitroot.pp_alpha(y, short)) if coefficient else lambda y: unitroot.pp(y, trend, short)
+    return per_series(df, test, ["stat", "p"]).withColumn("diff", F.col("p") > alpha)
 
 
 def seasonal_strength(df: DataFrame, m: int, limit: float = 0.64) -> DataFrame:
     """(series_id, strength, seasonal_diff): whether seasonality is strong enough to difference."""
-    from seriesloom.kernels import unitroot
-
     return per_series(df, lambda y: unitroot.seasonal_strength(y, m), ["strength"]).withColumn("seasonal_diff", F.col("strength") > limit)
 
 
+def canova_hansen(df: DataFrame, m: int) -> DataFrame:
+    """(series_id, stat, critical, seasonal_diff); a series shorter than 2 m + 5 is left out."""
+    found = per_batch(df, lambda y: tests.canova_hansen(y, m), ["stat"], 2 * m + 5).withColumn("critical", F.lit(tests.ch_critical(m)))
+    return found.withColumn("seasonal_diff", F.col("stat") > F.col("critical"))
+
+
+def ocsb(df: DataFrame, m: int, *, most: int = 3, criterion: str | None = "aic") -> DataFrame:
+    """(series_id, stat, critical, seasonal_diff); stat is null where a series is too short."""
+    found = per_batch(df, lambda y: tests.ocsb(y, m, most, criterion), ["stat"], m + 2).withColumn("critical", F.lit(float(tests.ocsb_critical(m))))
+    return found.withColumn("seasonal_diff", F.col("stat") > F.col("critical"))
+
+
+def hegy(df: DataFrame, m: int, *, deterministic: str = "ct", criterion: str | None = "aic", most: int = 3, draws: int = 1000) -> DataFrame:
+    """(series_id, name, stat, p, lag) for each frequency and jointly; series of less than four cycles are left out.
+
+    Levels come from simulated seasonal random walks of the same length.
+    """
+    names = tests.hegy_names(m)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        stat, p, lag = tests.hegy_p(_values(rows), m, deterministic, criterion, most, draws)
+        return pd.DataFrame({KEY: np.repeat(rows[KEY].to_numpy(), len(names)), "name": names * len(rows), "stat": stat.ravel(), "p": p.ravel(), "lag": np.repeat(lag, len(names))})
+
+    return _mapped(_packed(df).filter(F.col("n") >= 4 * m), run, f"{KEY} string, name string, stat double, p double, lag int")
+
+
+def n_seasonal_diffs(df: DataFrame, m: int, *, most: int = 1, test: str = "seas") -> DataFrame:
+    """(series_id, sd): how often to difference at lag m; test is seas, ch, ocsb or hegy."""
+    return per_batch(df, lambda y: tests.n_seasonal_diffs(y, m, most, test), ["sd"]).select(KEY, F.col("sd").cast("int").alias("sd"))
+
+
+def find_period(df: DataFrame) -> DataFrame:
+    """(series_id, period): where an autoregression's spectrum has its peak; 1 without one."""
+    return per_series(df, lambda y: tests.find_period(y), ["period"]).select(KEY, F.col("period").cast("int").alias("period"))
+
+
 def save(models: DataFrame, path: str) -> None:
     models.withColumn("version", F.lit(1)).write.mode("overwrite").json(path)
 

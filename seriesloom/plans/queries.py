@@ -284,7 +284,7 @@ def s14(spark, d):
 def f2(spark, d):
     from seriesloom.plans import models
 
-    return models.fit(sources.monthly_revenue(spark, d), (1, 0, 1)).drop("phi", "theta")
+    return models.fit(sources.monthly_revenue(spark, d), (1, 0, 1)).drop("phi", "theta", "beta")
 
 
 @register("f7_forecast_airline")
@@ -298,7 +298,7 @@ def f7b(spark, d):
 def a1(spark, d):
     from seriesloom.plans import models
 
-    return models.search(sources.monthly_revenue(spark, d), most_p=2, most_q=2).drop("phi", "theta")
+    return models.search(sources.monthly_revenue(spark, d), most_p=2, most_q=2).drop("phi", "theta", "beta")
 
 
 @register("p1_box_cox_lambda", f"WITH {S}, g AS (SELECT series_id, k, CASE WHEN k = 0 THEN ln(y) ELSE (pow(y, k / 100.0) - 1) / (k / 100.0) END AS z, ln(y) AS l FROM s, generate_series(-200, 200) a(k) WHERE y > 0), f AS (SELECT series_id, k, -count(*) / 2.0 * ln(var_pop(z)) + (k / 100.0 - 1) * sum(l) AS value FROM g GROUP BY 1, 2) SELECT series_id, arg_max(k, value) / 100.0 AS lam FROM f GROUP BY 1")
@@ -340,3 +340,37 @@ def m4b(spark, d):
 
     s = sources.monthly_revenue(spark, d)
     return models.cross_validate(s, series.rolling_folds(_sizes(spark, d), horizon=6, step=12, initial=36), (1, 0, 0), horizon=6)
+
+
+def _model(name: str, sql: str | None = None):
+    """Registers f(models, monthly revenue) by name."""
+
+    def put(f):
+        def query(spark, d):
+            from seriesloom.plans import models
+
+            return f(models, sources.monthly_revenue(spark, d))
+
+        register(name, sql)(query)
+        return f
+
+    return put
+
+
+_model("t3_phillips_perron_alpha")(lambda m, s: m.pp(s, coefficient=True))
+_model("t7_t8_canova_hansen")(lambda m, s: m.canova_hansen(s, 12))
+_model("t9_ocsb")(lambda m, s: m.ocsb(s, 12))
+_model("t12_t15_hegy")(lambda m, s: m.hegy(s, 12))
+_model("t17_n_seasonal_diffs")(lambda m, s: m.n_seasonal_diffs(s, 12))
+_model("t18_find_period")(lambda m, s: m.find_period(s))
+_model("f2_fit_with_regressors")(lambda m, s: m.fit(stats.fourier(s, 12, 1), (1, 0, 0), exog=["sin_1", "cos_1"]).drop("phi", "theta", "beta"))
+_model("f6_fitted_values")(lambda m, s: m.residuals(s, (1, 0, 1)))
+_model("f10_update")(lambda m, s: m.update(s.filter("t < 67"), s.filter("t >= 67"), (1, 0, 0)).drop("phi", "theta", "beta"))
+_model("a1_a6_stepwise_seasonal")(lambda m, s: m.auto_arima(s, m.auto.Options(m=12, most_p=2, most_q=2, most_sp=1, most_sq=1)).drop("phi", "theta", "beta"))
+_model("a8_approximate_search")(lambda m, s: m.search_trace(s, m.auto.Options(most_p=3, most_q=3, approximate=True)))
+_model("a9_holdout_search")(lambda m, s: m.search_trace(s, m.auto.Options(most_p=2, most_q=2, holdout=12)))
+_model("b1_simulate")(lambda m, s: m.simulate(s, (1, 0, 0), n=60, draws=20))
+_model("b4_b5_parameter_bootstrap")(lambda m, s: m.parameter_bootstrap(s, (1, 0, 0), draws=100))
+_model("g6_roots")(lambda m, s: m.characteristic_roots(m.fit(s, (2, 0, 1))))
+_model("g7_summary")(lambda m, s: m.summary(s, (1, 0, 1)))
+_model("o1_outliers")(lambda m, s: m.outliers(s, kinds=("AO", "LS", "TC", "IO")))
