@@ -205,6 +205,18 @@ def characteristic_roots(models: DataFrame) -> DataFrame:
     return found.withColumn("stationary", F.col("least_ar") > 1).withColumn("invertible", F.col("least_ma") > 1)
 
 
+def diffuse_likelihood(df: DataFrame, order: Order, seasonal: Seasonal = NONE, kappa: float = 1e6) -> DataFrame:
+    """(series_id, log_l, diffuse, approximate) of a fit: by the fast filter of differences, exactly diffuse, and with kappa."""
+    from seriesloom.kernels import statespace
+
+    def run(y: np.ndarray) -> np.ndarray:
+        model, (_, d, _), (_, sd, _, m) = Fitted(y, order, seasonal, False), order, seasonal
+        found = [-statespace.diffuse(y, model.phi, model.theta, d, sd, m, k)[0] for k in (None, kappa)]
+        return np.stack([model.log_l, *found], 1)
+
+    return per_batch(df, run, ["log_l", "diffuse", "approximate"])
+
+
 def outliers(df: DataFrame, order: Order = (0, 1, 1), seasonal: Seasonal = NONE, *, kinds: tuple[str, ...] = ("AO", "LS"), critical: float | None = None, most: int = 5, delta: float = 0.7) -> DataFrame:
     """(series_id, t, kind, effect, size) in places counted from 0; kinds are AO, LS, TC and IO."""
 

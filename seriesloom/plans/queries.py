@@ -374,3 +374,21 @@ _model("b4_b5_parameter_bootstrap")(lambda m, s: m.parameter_bootstrap(s, (1, 0,
 _model("g6_roots")(lambda m, s: m.characteristic_roots(m.fit(s, (2, 0, 1))))
 _model("g7_summary")(lambda m, s: m.summary(s, (1, 0, 1)))
 _model("o1_outliers")(lambda m, s: m.outliers(s, kinds=("AO", "LS", "TC", "IO")))
+_model("k7_k8_diffuse_likelihood")(lambda m, s: m.diffuse_likelihood(s, (1, 1, 1)))
+
+
+@register("p6_p7_pipeline")
+def p6(spark, d):
+    from seriesloom.plans.pipeline import Fourier, Log, Pipeline
+
+    chain = Pipeline((("log", Log()), ("waves", Fourier(12, 2))), (1, 0, 0), unit="month")
+    return chain.fit(sources.monthly_revenue(spark, d)).predict(12)
+
+
+@register("p5_p8_dated_pipeline")
+def p8(spark, d):
+    from seriesloom.plans.pipeline import BoxCox, Dates, Pipeline
+
+    s = sources.daily_events(spark, d).select("series_id", "t", "y", F.col("ds").cast("timestamp_ntz").alias("ds"))
+    cut = 20
+    return Pipeline((("power", BoxCox(shift=1.0)), ("dates", Dates())), (1, 0, 0)).fit(s.filter(f"t < {cut}")).update(s.filter(f"t >= {cut}")).predict(7)
