@@ -34,19 +34,29 @@ def pack(df: DataFrame, exog: list[str] | None = None) -> DataFrame:
     return rows.select(KEY, F.transform("_rows", lambda r: r[Y]).alias("ys"), *([F.transform("_rows", lambda r: r["x"]).alias("xs")] if exog else []))
 
 
-def diff(df: DataFrame, lag: int = 1, times: int = 1, column: str = Y) -> DataFrame:
-    """y less its value lag positions before, times over; the first lag * times rows go."""
+def diff(df: DataFrame, lag: int = 1, times: int = 1, column: str | list[str] = Y) -> DataFrame:
+    """y (or each of several columns) less its value lag positions before, times over; the first lag * times rows go."""
     if lag < 1 or times < 1:
         raise ValueError("lag and times must be 1 or more")
+    columns = [column] if isinstance(column, str) else column
     for _ in range(times):
-        df = df.withColumn(column, F.col(column) - F.lag(column, lag).over(ordered()))
+        df = df.withColumns({c: F.col(c) - F.lag(c, lag).over(ordered()) for c in columns})
     return df.withColumn("_n", F.row_number().over(ordered())).filter(F.col("_n") > lag * times).drop("_n")
 
 
-def inverse_diff(df: DataFrame, lag: int = 1, times: int = 1, start: float = 0.0) -> DataFrame:
-    """The series whose differences are y; its first lag * times values are start, t counts from the first of them."""
-    for _ in range(times):
-        head = df.groupBy(KEY).agg(F.min(T).alias("_t")).select(KEY, F.explode(F.sequence(F.col("_t") - lag, F.col("_t") - 1)).alias(T), F.lit(start).alias(Y))
+def inverse_diff(df: DataFrame, lag: int = 1, times: int = 1, start: float = 0.0, heads: DataFrame | None = None) -> DataFrame:
+    """The series whose differences are y; its first lag * times values are start, t counts from the first of them.
+
+    heads (series_id, t, y) gives those values instead, at the lag * times places before each series.
+    """
+    for k in reversed(range(times)):
+        if heads is None:
+            head = df.groupBy(KEY).agg(F.min(T).alias("_t")).select(KEY, F.explode(F.sequence(F.col("_t") - lag, F.col("_t") - 1)).alias(T), F.lit(start).alias(Y))
+        else:  # what k differences leave of the heads, its last lag values
+            known = diff(heads, lag, k) if k else heads
+            place = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(T)))
+            before = known.join(df.groupBy(KEY).agg(F.min(T).alias("_t")), KEY).filter(F.col(T) < F.col("_t"))
+            head = before.withColumn("_n", place).filter(F.col("_n") <= lag).select(KEY, T, Y)
         both = head.unionByName(df.select(KEY, T, Y))
         df = both.withColumn(Y, F.sum(Y).over(Window.partitionBy(KEY, F.pmod(F.col(T), F.lit(lag))).orderBy(T)))
     return df

@@ -311,6 +311,40 @@ def pp(df: DataFrame, *, trend: bool = False, short: bool = True, coefficient: b
     return per_series(df, test, ["stat", "p"]).withColumn("diff", F.col("p") > alpha)
 
 
+def exact_likelihood(df: DataFrame, phi: list[float], theta: list[float]) -> DataFrame:
+    """(series_id, log_l, sigma2) of given coefficients, with the variance concentrated out."""
+
+    def run(y: np.ndarray) -> np.ndarray:
+        value, sigma2 = arma.exact(y, np.tile(np.array(phi, float), (len(y), 1)), np.tile(np.array(theta, float), (len(y), 1)))
+        return np.stack([-value, sigma2], 1)
+
+    return per_batch(df, run, ["log_l", "sigma2"])
+
+
+def arch_lm(df: DataFrame, lags: int) -> DataFrame:
+    """(series_id, lm, p): squared values on those of so many places before."""
+    from seriesloom.functions.stats import chi2_tail
+
+    def run(y: np.ndarray) -> np.ndarray:
+        a = y**2
+        x = np.concatenate([np.ones((len(a), a.shape[1] - lags, 1)), tests.lagged(a, range(1, lags + 1), lags)], 2)
+        e, now = tests.ols(x, a[:, lags:])[1], a[:, lags:]
+        return now.shape[1] * (1 - (e**2).sum(1) / ((now - now.mean(1, keepdims=True)) ** 2).sum(1))
+
+    return per_batch(df, run, ["lm"], 2 * lags + 2).withColumn("p", chi2_tail(F.col("lm"), lags))
+
+
+def stl(df: DataFrame, m: int, *, window: int = 11, trend_window: int | None = None) -> DataFrame:
+    """(series_id, t, trend, seasonal, remainder), t counted from 0; a series of less than two cycles is left out."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.stack(unitroot.stl(y, m, window, trend_window)) for y in _values(rows)]
+        n = parts[0].shape[1]
+        return pd.DataFrame({KEY: np.repeat(rows[KEY].to_numpy(), n), "t": np.tile(np.arange(n), len(rows)), **{c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(("trend", "seasonal", "remainder"))}})
+
+    return _mapped(_packed(df).filter(F.col("n") >= 2 * m), run, f"{KEY} string, t int, trend double, seasonal double, remainder double")
+
+
 def seasonal_strength(df: DataFrame, m: int, limit: float = 0.64) -> DataFrame:
     """(series_id, strength, seasonal_diff): whether seasonality is strong enough to difference."""
     return per_series(df, lambda y: unitroot.seasonal_strength(y, m), ["strength"]).withColumn("seasonal_diff", F.col("strength") > limit)

@@ -392,3 +392,22 @@ def p8(spark, d):
     s = sources.daily_events(spark, d).select("series_id", "t", "y", F.col("ds").cast("timestamp_ntz").alias("ds"))
     cut = 20
     return Pipeline((("power", BoxCox(shift=1.0)), ("dates", Dates())), (1, 0, 0)).fit(s.filter(f"t < {cut}")).update(s.filter(f"t >= {cut}")).predict(7)
+
+
+@register("u2_diff_matrix", f"WITH {S} SELECT series_id, t, {r('y AS y', 'x AS x')} FROM (SELECT series_id, t, y - lag(y) OVER w AS y, y * t - lag(y * t) OVER w AS x FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)) WHERE y IS NOT NULL")
+def u2(spark, d):
+    return rounded(series.diff(sources.monthly_revenue(spark, d).withColumn("x", F.col("y") * F.col("t")), 1, 1, ["y", "x"]))
+
+
+@register("u3_inverse_diff_heads", f"WITH {S} SELECT series_id, t, {r('y AS y')} FROM s WHERE t >= 12")
+def u3b(spark, d):
+    s = sources.monthly_revenue(spark, d)
+    return rounded(series.inverse_diff(series.diff(s, 12, 2), 12, 2, heads=s.filter("t < 24")).filter("t >= 12").select("series_id", "t", "y"))
+
+
+_model("k3_exact_ar1", f"WITH {S}, l AS (SELECT series_id, t, y, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS b FROM s), q AS (SELECT series_id, count(*) AS n, sum(CASE WHEN b IS NULL THEN 0.75 * y * y ELSE (y - 0.5 * b) ** 2 END) / count(*) AS v FROM l GROUP BY 1) SELECT series_id, {r('-0.5 * (n * (ln(2 * pi() * v) + 1) - ln(0.75)) AS log_l', 'v AS sigma2')} FROM q")(lambda m, s: rounded(m.exact_likelihood(s, [0.5], [])))
+_model("t2_adf_no_lags", f"WITH {S}, l AS (SELECT series_id, y - lag(y) OVER w AS d, lag(y) OVER w AS b FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)), q AS (SELECT series_id, regr_slope(d, b) AS c, sqrt((regr_syy(d, b) - regr_slope(d, b) * regr_sxy(d, b)) / (regr_count(d, b) - 2) / regr_sxx(d, b)) AS e FROM l GROUP BY 1) SELECT series_id, {r('c / e AS stat')} FROM q")(lambda m, s: rounded(m.adf(s, lags=0).select("series_id", "stat")))
+_model("t3_pp_stat", f"""WITH {S}, l AS (SELECT series_id, t, y, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS b FROM s), g AS (SELECT series_id, regr_slope(y, b) AS c, regr_intercept(y, b) AS a, regr_sxx(y, b) AS x, regr_count(y, b) AS n FROM l GROUP BY 1), u AS (SELECT series_id, t, c, x, n, y - a - c * b AS e FROM l JOIN g USING (series_id) WHERE b IS NOT NULL), v AS (SELECT *, lag(e, 1) OVER w AS e1, lag(e, 2) OVER w AS e2, lag(e, 3) OVER w AS e3 FROM u WINDOW w AS (PARTITION BY series_id ORDER BY t)), q AS (SELECT series_id, c, x, n, sum(e * e) / n AS i, sum(e * e) / n + 2.0 / n * (0.75 * sum(e * e1) + 0.5 * sum(e * e2) + 0.25 * sum(e * e3)) AS o FROM v GROUP BY 1, 2, 3, 4), z AS (SELECT *, sqrt(i * n / (n - 2) / x) AS se FROM q) SELECT series_id, {r('sqrt(i / o) * (c - 1) / se - 0.5 * (o - i) * sqrt(n) * se / sqrt(o * i) AS stat')} FROM z""")(lambda m, s: rounded(m.pp(s).select("series_id", "stat")))
+_model("g5_arch_lm_many", f"WITH {S}, q AS (SELECT series_id, y * y AS a, lag(y * y) OVER w AS b, lag(y * y, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)), k AS (SELECT series_id, count(*) AS n, corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM q WHERE c IS NOT NULL GROUP BY 1), l AS (SELECT series_id, n * (ab * ab + ac * ac - 2 * ab * ac * bc) / (1 - bc * bc) AS lm FROM k) SELECT series_id, {r('lm AS lm', 'exp(-lm / 2) AS p')} FROM l")(lambda m, s: rounded(m.arch_lm(s, 2)))
+_model("d2_stl")(lambda m, s: m.stl(s, 12))
+_model("d2_stl_rebuilt", f"WITH {S} SELECT series_id, t, {r('y AS y')} FROM s")(lambda m, s: rounded(m.stl(s, 12).select("series_id", "t", (F.col("trend") + F.col("seasonal") + F.col("remainder")).alias("y"))))

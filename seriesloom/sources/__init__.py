@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,39 @@ def read_series_csv(spark: SparkSession, path: str, series_id: str) -> DataFrame
     return spark.read.csv(path, header=True, schema="t int, y double").filter(F.col("y").isNotNull() & ~F.isnan("y")).select(F.lit(series_id).alias("series_id"), "t", "y")
 
 
+# Name, number of values and period of the classic series that loaders know.
+CLASSICS = {
+    "airpassengers": (144, 12),
+    "wineind": (176, 12),
+    "austres": (89, 4),
+    "lynx": (114, 1),
+    "woolyrnq": (119, 4),
+    "wwwusage": (100, 1),
+    "co2": (468, 12),
+    "sunspots": (2820, 12),
+    "ausbeer": (211, 4),
+    "ausbeer_long": (218, 4),
+    "gasoline": (745, 52),
+    "gasoline_long": (1355, 52),
+    "heartrate": (150, 1),
+    "taylor": (4032, 48),
+}
+
+
+def load_classic(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A classic series from its file folder/name.csv; raises if it isn't known, wasn't fetched, or hasn't the right number of values."""
+    if name not in CLASSICS:
+        raise ValueError(f"unknown series {name}")
+    try:
+        out = read_series_csv(spark, f"{folder}/{name}.csv", name)
+        n = out.count()
+    except AnalysisException as e:
+        raise FileNotFoundError(f"{name} was not fetched into {folder}") from e
+    if n != CLASSICS[name][0]:
+        raise ValueError(f"{name} has {n} values, not {CLASSICS[name][0]}")
+    return out
+
+
 def check_shape(df: DataFrame, n: int, low: float, high: float) -> DataFrame:
     """(series_id, n, low, high, fits): whether each series has n values within the bounds."""
     out = df.groupBy("series_id").agg(F.count("y").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"))
