@@ -34,24 +34,26 @@ def multiply(a: np.ndarray, b: np.ndarray, m: int, sign: float) -> np.ndarray:
     return sign * out[:, 1:]
 
 
-def css_residuals(w: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """[B, T] residuals; those before the longest lag are 0."""
+def css_residuals(w: np.ndarray, phi: np.ndarray, theta: np.ndarray, lost: np.ndarray | None = None) -> np.ndarray:
+    """[B, T] residuals; those before the longest lag, or the first lost [B] of a row, are 0."""
     p, q = phi.shape[1], theta.shape[1]
-    e, start = np.zeros_like(w), max(p, q)
+    start = max(p, q) if lost is None else int(lost.min(initial=max(p, q)))
+    past, e = np.concatenate([np.zeros((len(w), p)), w], 1), np.zeros((len(w), q + w.shape[1]))
     for t in range(start, w.shape[1]):
         x = w[:, t].copy()
         if p:
-            x -= (phi * w[:, t - p : t][:, ::-1]).sum(1)
+            x -= (phi * past[:, t : t + p][:, ::-1]).sum(1)
         if q:
-            x -= (theta * e[:, t - q : t][:, ::-1]).sum(1)
-        e[:, t] = x
-    return e
+            x -= (theta * e[:, t : t + q][:, ::-1]).sum(1)
+        e[:, q + t] = x if lost is None else np.where(t >= lost, x, 0)
+    return e[:, q:]
 
 
-def css(w: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def css(w: np.ndarray, phi: np.ndarray, theta: np.ndarray, lost: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Half the count times the log of the variance, and the variance."""
-    e, n = css_residuals(w, phi, theta), w.shape[1] - max(phi.shape[1], theta.shape[1])
-    s = np.maximum((e * e).sum(1) / max(n, 1), 1e-300)
+    e = css_residuals(w, phi, theta, lost)
+    n = w.shape[1] - (max(phi.shape[1], theta.shape[1]) if lost is None else lost)
+    s = np.maximum((e * e).sum(1) / np.maximum(n, 1), 1e-300)
     return 0.5 * n * np.log(s), s
 
 
@@ -104,8 +106,11 @@ def exact(w: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray
     return np.where(np.isfinite(out), out, 1e300), s
 
 
-def minimize(f: Callable, x: np.ndarray, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """BFGS with backtracking for each row of x at once; f(points, rows) gives the value of each point for its row."""
+def minimize(f: Callable, x: np.ndarray, rounds: int = 100, tol: float = 1e-6, free: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """BFGS with backtracking for each row of x at once; f(points, rows) gives the value of each point for its row.
+
+    free [rows, k] says which numbers of a row may move.
+    """
     s, k = x.shape
     rows, eps = np.arange(s), 1e-6
     value = f(x, rows)
@@ -115,7 +120,8 @@ def minimize(f: Callable, x: np.ndarray, rounds: int = 100, tol: float = 1e-6) -
     def gradient(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
         step = eps * np.concatenate([np.eye(k), -np.eye(k)])
         v = f((x[:, None] + step[None]).reshape(-1, k), np.repeat(rows, 2 * k)).reshape(-1, 2, k)
-        return (v[:, 0] - v[:, 1]) / (2 * eps)
+        slope = (v[:, 0] - v[:, 1]) / (2 * eps)
+        return slope if free is None else slope * free[rows]
 
     g, h, live = gradient(x, rows), np.tile(np.eye(k), (s, 1, 1)), np.ones(s, bool)
     for _ in range(rounds):
@@ -169,9 +175,12 @@ class Fitted:
 
     exog [B, n, k] are regressors with ARMA errors; coef [B, r] are the constant (on the differenced scale), if any, and their
     coefficients. method is css-ml, css (whose log_l leaves out constants, so never compare it with the others') or ml.
+
+    free [B, p + q + sp + sq] makes some rows' orders lower: a partial autocorrelation held at zero at the end of a block is an
+    order less, so that rows of different orders are fitted together.
     """
 
-    def __init__(self, y: np.ndarray, order: tuple[int, int, int], seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), mean: bool | None = None, rounds: int = 100, exog: np.ndarray | None = None, method: str = "css-ml", start: np.ndarray | None = None, ridge: float = 0.0):
+    def __init__(self, y: np.ndarray, order: tuple[int, int, int], seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), mean: bool | None = None, rounds: int = 100, exog: np.ndarray | None = None, method: str = "css-ml", start: np.ndarray | None = None, ridge: float = 0.0, free: np.ndarray | None = None):
         (p, d, q), (sp, sd, sq, m) = order, seasonal
         self.y, self.order, self.seasonal, self.exog = y, order, seasonal, exog
         w = difference(y, d, sd, m)
@@ -188,38 +197,44 @@ class Fitted:
             raw = [stationary(x[:, i:j], s) for i, j, s in self.blocks]
             return *self.expand(raw), raw
 
+        self.lost = None
+        if free is not None:
+            lags = [free[:, i:j].sum(1) * (m if block > 1 else 1) for block, (i, j, _) in enumerate(self.blocks)]
+            self.lost = np.maximum(lags[0] + lags[2], lags[1] + lags[3])
+
         def objective(kind: Callable) -> Callable:
             def value(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
                 phi, theta, _ = parts(np.clip(x[:, :k], -4, 4))
                 z = w[rows] - np.einsum("bth,bh->bt", self.design[rows], center[rows] + x[:, k:] * scale[rows]) if r else w[rows]
-                found = kind(z, phi, theta)[0]
+                found = css(z, phi, theta, None if self.lost is None else self.lost[rows])[0] if kind is css else kind(z, phi, theta)[0]
                 return found + ridge * (x[:, :k] ** 2).sum(1) if ridge else found
 
             return value
 
         x = np.zeros((len(y), k + r))
-        x[:, :k] = 0.1
+        x[:, :k] = 0.1 if free is None else 0.1 * free
+        moving = None if free is None else np.concatenate([free, np.ones((len(y), r), bool)], 1)
         if start is not None:
             x = start.copy()
         elif method != "ml":
-            x, value = minimize(objective(css), x, rounds)
+            x, value = minimize(objective(css), x, rounds, free=moving)
         if method != "css":
-            x, value = minimize(objective(exact), np.clip(x, -3, 3), rounds)
+            x, value = minimize(objective(exact), np.clip(x, -3, 3), rounds, free=moving)
         self.x = x
         self.phi, self.theta, self.params = parts(np.clip(x[:, :k], -4, 4))
         self.coef = center + x[:, k:] * scale
         self.mean = self.coef[:, 0] if self.with_mean else np.zeros(len(y))
         self.w, n = w - np.einsum("bth,bh->bt", self.design, self.coef), w.shape[1]
         if method == "css":
-            self.sigma2 = css(self.w, self.phi, self.theta)[1]
+            self.sigma2 = css(self.w, self.phi, self.theta, self.lost)[1]
             self.log_l = -0.5 * n * np.log(self.sigma2)
         else:
             value, self.sigma2 = exact(self.w, self.phi, self.theta)
             self.log_l = -value
-        self.n, self.count = n, k + r + 1
+        self.n, self.count = n, np.full(len(y), k) + r + 1 if free is None else free.sum(1) + r + 1
         count = self.count
         self.aic = 2 * count - 2 * self.log_l
-        self.aicc = self.aic + 2 * count * (count + 1) / (n - count - 1) if n - count - 1 > 0 else np.full(len(y), np.inf)
+        self.aicc = self.aic + np.where(n - count - 1 > 0, 2 * count * (count + 1) / np.maximum(n - count - 1, 1), np.inf)
         self.bic = count * np.log(n) - 2 * self.log_l
         self.hqic = 2 * count * np.log(np.log(n)) - 2 * self.log_l
 
@@ -237,7 +252,7 @@ class Fitted:
         return np.concatenate(parts, 2) if parts else np.zeros((rows, steps, 0))
 
     def residuals(self) -> np.ndarray:
-        return css_residuals(self.w, self.phi, self.theta)
+        return css_residuals(self.w, self.phi, self.theta, self.lost)
 
     def forecast(self, h: int, z: float = 1.959963984540054, future: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """[B, h] points and bounds; future [B, h, k] are the regressors ahead."""
@@ -270,6 +285,12 @@ class Fitted:
         return ahead, ahead - half, ahead + half
 
 
+def free_of(orders: list[tuple[int, int, int, int]]) -> tuple[tuple[int, int, int, int], np.ndarray]:
+    """The largest (p, q, sp, sq) of rows, and which numbers of each row's blocks are its own."""
+    most = tuple(int(x) for x in np.max(orders, 0))
+    return most, np.array([[i < o for o, n in zip(c, most, strict=True) for i in range(n)] for c in orders], bool).reshape(len(orders), sum(most))
+
+
 def roots(coefficients: np.ndarray, sign: float) -> np.ndarray:
     """Roots of 1 + sign (c_1 z + c_2 z² ...); sign is -1 for autoregressive and 1 for moving-average parts."""
     c = np.trim_zeros(np.concatenate([[1.0], sign * np.asarray(coefficients, float)]), "b")

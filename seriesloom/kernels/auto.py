@@ -7,10 +7,12 @@ from itertools import product
 
 import numpy as np
 
-from seriesloom.kernels.arma import Fitted, difference
+from seriesloom.kernels.arma import Fitted, difference, free_of
 from seriesloom.kernels.seasonal import find_period, n_seasonal_diffs
 from seriesloom.kernels.unitroot import n_diffs
 
+#: Candidates that are fitted together at most.
+TOGETHER = 1024
 STARTS = ((2, 2, 1, 1), (0, 0, 0, 0), (1, 0, 1, 0), (0, 1, 0, 1))
 
 
@@ -90,30 +92,35 @@ class _Batch:
         return inside and p + q + sp + sq <= o.most_order and (m > 1 or sp + sq == 0)
 
     def score(self, wanted: list[tuple[int, Order]]) -> None:
-        """Puts the scores of what isn't yet known into tried; one fit for each order, level of differencing and period."""
-        groups: dict[tuple, list[int]] = {}
+        """Puts the scores of what isn't yet known into tried; candidates alike in differencing, period and constant are fitted together."""
+        groups: dict[tuple, list[tuple[int, Order]]] = {}
         for i, c in wanted:
             if c not in self.tried[i] and self.fits(i, c):
                 self.tried[i][c] = np.nan
-                groups.setdefault((c, self.levels[i]), []).append(i)
-        o = self.o
-        for (c, (m, sd, d)), rows in groups.items():
-            p, q, sp, sq, constant = c
-            y, x = self.y[rows], None if self.exog is None else self.exog[rows]
-            cut = y.shape[1] - o.holdout
-            try:
-                with np.errstate(all="ignore"):
-                    model = Fitted(y[:, :cut], (p, d, q), (sp, sd, sq, m), constant, o.rounds, None if x is None else x[:, :cut], "css" if o.approximate else "css-ml")
-                    if o.holdout:
-                        ahead, real = model.forecast(o.holdout, future=None if x is None else x[:, cut:])[0], y[:, cut:]
-                        size = np.abs(ahead) + np.abs(real)
-                        value = np.where(size > 0, 200 * np.abs(ahead - real) / np.where(size > 0, size, 1), 0).mean(1)
-                    else:
-                        value = getattr(model, o.criterion)
-            except (ValueError, np.linalg.LinAlgError):
-                continue
-            for i, v, ll in zip(rows, value, model.log_l, strict=True):
-                self.tried[i][c] = float(v) if np.isfinite(v) and ll > -1e299 else np.nan
+                groups.setdefault((self.levels[i], c[4]), []).append((i, c))
+        for (level, constant), pairs in groups.items():
+            for at in range(0, len(pairs), TOGETHER):
+                some = pairs[at : at + TOGETHER]
+                for (i, c), v in zip(some, self._fit(some, level, constant), strict=True):
+                    self.tried[i][c] = v
+
+    def _fit(self, pairs: list[tuple[int, Order]], level: tuple[int, int, int], constant: bool) -> list[float]:
+        o, (m, sd, d), rows = self.o, level, [i for i, _ in pairs]
+        (p, q, sp, sq), free = free_of([c[:4] for _, c in pairs])
+        y, x = self.y[rows], None if self.exog is None else self.exog[rows]
+        cut = y.shape[1] - o.holdout
+        try:
+            with np.errstate(all="ignore"):
+                model = Fitted(y[:, :cut], (p, d, q), (sp, sd, sq, m), constant, o.rounds, None if x is None else x[:, :cut], "css" if o.approximate else "css-ml", free=free)
+                if o.holdout:
+                    ahead, real = model.forecast(o.holdout, future=None if x is None else x[:, cut:])[0], y[:, cut:]
+                    size = np.abs(ahead) + np.abs(real)
+                    value = np.where(size > 0, 200 * np.abs(ahead - real) / np.where(size > 0, size, 1), 0).mean(1)
+                else:
+                    value = getattr(model, o.criterion)
+        except (ValueError, np.linalg.LinAlgError):
+            return [np.nan] * len(pairs)
+        return [float(v) if np.isfinite(v) and ll > -1e299 else np.nan for v, ll in zip(value, model.log_l, strict=True)]
 
     def best(self, i: int) -> tuple[float, Order] | None:
         known = [(v, c) for c, v in self.tried[i].items() if not np.isnan(v)]

@@ -88,16 +88,19 @@ def forecast(df: DataFrame, order: Order, seasonal: Seasonal = NONE, h: int = 12
 def search(df: DataFrame, *, most_p: int = 3, most_q: int = 3, most_order: int = 5, criterion: str = "aicc") -> DataFrame:
     """The best model row of each series over all (p, q) in the box, differenced as the KPSS test says.
 
-    Candidates are rows: one order is fitted to many series of one length and one d.
+    Candidates are rows: those of series of one length and one d are fitted together, whatever their orders.
     """
     grid = candidate_grid(df.sparkSession, most_p, most_q, 0, 0, most_order)
     ready = _packed(df).join(n_diffs(df), KEY).join(F.broadcast(grid.select("p", "q")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        p, d, q = (int(rows[c].iloc[0]) for c in ("p", "d", "q"))
-        return _models(rows[KEY].to_numpy(), Fitted(_values(rows), (p, d, q)))
+        own = [(int(p), int(q), 0, 0) for p, q in zip(rows["p"], rows["q"], strict=True)]
+        (p, q, _, _), free = arma.free_of(own)
+        out = _models(rows[KEY].to_numpy(), Fitted(_values(rows), (p, int(rows["d"].iloc[0]), q), free=free))
+        out["phi"], out["theta"] = [x[: c[0]] for x, c in zip(out["phi"], own, strict=True)], [x[: c[1]] for x, c in zip(out["theta"], own, strict=True)]
+        return out.assign(p=[c[0] for c in own], q=[c[1] for c in own])
 
-    fitted = _mapped(ready, run, MODEL, ("n", "p", "d", "q"))
+    fitted = _mapped(ready, run, MODEL, ("n", "d"))
     best = F.min_by(F.struct(*[c for c in fitted.columns if c != KEY]), F.struct(criterion, "p", "q"))
     return fitted.groupBy(KEY).agg(best.alias("x")).select(KEY, "x.*")
 

@@ -122,6 +122,18 @@ def test_bootstrap_of_parameters_centres_on_them():
     assert abs(arma.bias_corrected(model, sampled)[0, 0]) <= 0.99
 
 
+@pytest.mark.parametrize("method", ["css", "css-ml"])
+def test_orders_fitted_together(method):
+    y = np.random.default_rng(0).normal(size=(4, 90)).cumsum(1)
+    orders = [(0, 1, 1, 0), (2, 0, 0, 0), (1, 1, 0, 1), (0, 0, 0, 0)]
+    most, free = arma.free_of(orders)
+    both = arma.Fitted(y, (most[0], 1, most[1]), (most[2], 0, most[3], 12), free=free, method=method)
+    for i, (p, q, sp, sq) in enumerate(orders):
+        one = arma.Fitted(y[i : i + 1], (p, 1, q), (sp, 0, sq, 12), method=method)
+        assert both.log_l[i] == pytest.approx(one.log_l[0], abs=1e-6) and both.aicc[i] == pytest.approx(one.aicc[0], abs=1e-6)
+        assert both.forecast(3)[0][i] == pytest.approx(one.forecast(3)[0][0], abs=1e-5)
+
+
 def test_search():
     y = np.log(AIR)[None]
     found = auto.search(y, auto.Options(m=12, most_p=2, most_q=2, most_sp=1, most_sq=1))[0]
