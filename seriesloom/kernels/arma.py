@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from seriesloom.kernels import starts
+
 
 def stationary(x: np.ndarray, sign: float = -1.0) -> np.ndarray:
     """[B, p] unconstrained numbers to coefficients of a stationary (sign -1) or invertible (sign 1) polynomial."""
@@ -178,9 +180,12 @@ class Fitted:
 
     free [B, p + q + sp + sq] makes some rows' orders lower: a partial autocorrelation held at zero at the end of a block is an
     order less, so that rows of different orders are fitted together.
+
+    init is flat or hannan-rissanen, whose least squares start a search from coefficients (flat where a series is too short or
+    free is given). polish ends with a simplex search, which keeps what it can't better.
     """
 
-    def __init__(self, y: np.ndarray, order: tuple[int, int, int], seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), mean: bool | None = None, rounds: int = 100, exog: np.ndarray | None = None, method: str = "css-ml", start: np.ndarray | None = None, ridge: float = 0.0, free: np.ndarray | None = None):
+    def __init__(self, y: np.ndarray, order: tuple[int, int, int], seasonal: tuple[int, int, int, int] = (0, 0, 0, 1), mean: bool | None = None, rounds: int = 100, exog: np.ndarray | None = None, method: str = "css-ml", start: np.ndarray | None = None, ridge: float = 0.0, free: np.ndarray | None = None, init: str = "flat", polish: bool = False):
         (p, d, q), (sp, sd, sq, m) = order, seasonal
         self.y, self.order, self.seasonal, self.exog = y, order, seasonal, exog
         w = difference(y, d, sd, m)
@@ -213,6 +218,12 @@ class Fitted:
 
         x = np.zeros((len(y), k + r))
         x[:, :k] = 0.1 if free is None else 0.1 * free
+        if init == "hannan-rissanen" and free is None:
+            raw = starts.hannan_rissanen(w - np.einsum("bth,bh->bt", self.design, center), p, q, sp, sq, m)
+            if raw is not None:
+                x[:, :k] = np.concatenate([starts.unconstrained(raw[:, i:j], s) for i, j, s in self.blocks], 1)
+        elif init not in ("flat", "hannan-rissanen"):
+            raise ValueError(f"no such start: {init}")
         moving = None if free is None else np.concatenate([free, np.ones((len(y), r), bool)], 1)
         if start is not None:
             x = start.copy()
@@ -220,6 +231,8 @@ class Fitted:
             x, value = minimize(objective(css), x, rounds, free=moving)
         if method != "css":
             x, value = minimize(objective(exact), np.clip(x, -3, 3), rounds, free=moving)
+        if polish and free is None:
+            x, value = starts.simplex(objective(css if method == "css" else exact), x)
         self.x = x
         self.phi, self.theta, self.params = parts(np.clip(x[:, :k], -4, 4))
         self.coef = center + x[:, k:] * scale

@@ -52,11 +52,11 @@ def _regressors(rows: pd.DataFrame, column: str = "xs") -> np.ndarray | None:
     return np.stack([np.stack(x) for x in rows[column]]).astype(float) if column in rows else None
 
 
-def fit(df: DataFrame, order: Order, seasonal: Seasonal = NONE, *, exog: list[str] | None = None, mean: bool | None = None, method: str = "css-ml") -> DataFrame:
-    """One model row for each series; exog names columns of regressors with ARMA errors."""
+def fit(df: DataFrame, order: Order, seasonal: Seasonal = NONE, *, exog: list[str] | None = None, mean: bool | None = None, method: str = "css-ml", init: str = "flat", polish: bool = False) -> DataFrame:
+    """One model row for each series; exog names columns of regressors with ARMA errors; init and polish as in :class:`Fitted`."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _models(rows[KEY].to_numpy(), Fitted(_values(rows), order, seasonal, mean, exog=_regressors(rows), method=method))
+        return _models(rows[KEY].to_numpy(), Fitted(_values(rows), order, seasonal, mean, exog=_regressors(rows), method=method, init=init, polish=polish))
 
     return _mapped(_packed(df, exog), run, MODEL)
 
