@@ -3,15 +3,18 @@
 Both halves of a vector are quantised separately, by k-means codebooks learnt on the driver from a bounded sample
 (``SAMPLE`` vectors); a pair of centroids is a cell. Every vector is indexed under its cell. A query goes through the pairs by
 the sum of its two squared distances, with a heap, until the cells it has seen hold enough vectors, where one cell counts
-for an eighth at most: a cell of equal vectors doesn't use up a query. The vectors of these cells are reranked by their exact
-distance in double precision.
+for an eighth at most: a cell of equal vectors doesn't use up a query. That is a first pass, for the distance of the k-th
+vector found. A second one visits every cell that can hold a nearer one: by the triangle inequality, a cell is left out only
+if the least and greatest distances of its vectors from its two centroids put all of them farther away. So the result is
+exact at every size; how much is visited depends on how well the vectors cluster, not on a share fixed beforehand. The
+vectors of the cells are ranked by their exact distance in double precision.
 
 Cells are dealt to tasks by a hash; a cell of more than ``CHUNK`` vectors is cut into chunks by a hash of the id, each
 with the cell's queries. A task returns its ten best for a query, so what is shuffled doesn't grow with a cell.
 
 Defined results: rows with a null id, and vectors that are null, empty, zero, or hold null or non-finite components, or have
 another length than most, take no part; ties go to the smaller id; of rows with equal ids the nearest counts, and none is a
-neighbour of its own id; with fewer candidates than k, all that were found; an empty table gives an empty result.
+neighbour of its own id; with fewer vectors than k, all of them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from seriesloom.llm.common import materialize, partitions, table
 SAMPLE, CHUNK = 20_000, 4096
 #: What deals cells and chunks to tasks.
 SPREAD, SPREAD_CHUNK = 1_000_003, 40_503
-#: Centroids of a half: at most; vectors of a cell, aimed at. A query sees REACH times the square root of the vectors.
+#: Centroids of a half: at most; vectors of a cell, aimed at. The first pass sees REACH times the square root of the vectors.
 MOST_CENTROIDS, CELL, REACH = 256, 1, 100
+#: Distances compared at once in the second pass; what rounding may add to a squared distance, for each unit of squared length.
+TILE, ROUNDING = 2_000_000, 1e-9
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -114,6 +119,18 @@ def nearest_ids(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarra
         wide *= 4
 
 
+def least_squared(query: np.ndarray, books: list[np.ndarray], at: tuple[np.ndarray, np.ndarray], rings: np.ndarray) -> np.ndarray:
+    """For each cell (at: its two centroids) a lower bound of the squared distance of its vectors from query.
+
+    rings: [cell, 4], the least and greatest distances of the cell's vectors from the left and from the right centroid.
+    """
+    half, bound = books[0].shape[1] if len(query) > 1 else 0, 0.0
+    for k, part in enumerate((query[:half], query[half:]) if half else (np.zeros(1), query)):
+        d = np.sqrt(((books[k] - part) ** 2).sum(1))[at[k]]
+        bound = bound + np.maximum(np.maximum(d - rings[:, 2 * k + 1], rings[:, 2 * k] - d), 0) ** 2
+    return bound
+
+
 def search(rows: DataFrame, queries: DataFrame, *, k: int = 10, reach: float = REACH) -> DataFrame:
     """For each of queries (vec_id, vec) its k nearest among rows (vec_id, vec): query_id, rank, vec_id, score."""
     spark, result = rows.sparkSession, "query_id long, rank int, vec_id long, score double"
@@ -129,13 +146,15 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 10, reach: float = R
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = (nearest(p, book) for p, book in zip(halves(matrix(b.column(1))), books, strict=True))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a * len(books[1]) + c, pa.int64())], names=["vec_id", "vec", "cell"])
-
-    index = materialize(rows.mapInArrow(place, "vec_id long, vec array<double>, cell long"))
-    sizes = np.zeros((len(books[0]), len(books[1])), np.int64)
-    for cell, n in index.groupBy("cell").count().collect():  # MOST_CENTROIDS squared rows at most
-        sizes.flat[cell] = n
+            parts = halves(matrix(b.column(1)))
+            a, c = (nearest(p, book) for p, book in zip(parts, books, strict=True))
+            off = [pa.array(np.sqrt(((p - book[i]) ** 2).sum(1)), pa.float64()) for p, book, i in zip(parts, books, (a, c), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a * len(books[1]) + c, pa.int64()), *off], names=["vec_id", "vec", "cell", "d0", "d1"])
+
+    index = materialize(rows.mapInArrow(place, "vec_id long, vec array<double>, cell long, d0 double, d1 double"))
+    sizes, rings = np.zeros((len(books[0]), len(books[1])), np.int64), np.zeros((len(books[0]) * len(books[1]), 4))
+    for cell, n, *ring in index.groupBy("cell").agg(F.count("*"), F.min("d0"), F.max("d0"), F.min("d1"), F.max("d1")).collect():  # MOST_CENTROIDS squared rows at most
+        sizes.flat[cell], rings[cell] = n, ring
     enough = max(2000, int(reach * total**0.5))
 
     parts = max(1, min(partitions(spark) * 4, total // 1000))
@@ -178,9 +197,49 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 10, reach: float = R
         return pa.table({"query_id": pa.array([g[0] for g in out], pa.int64()), "vec_id": pa.array([g[1] for g in out], pa.int64()), "score": pa.array([g[2] for g in out], pa.float64())})
 
     found = stored.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(compare, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda pairs: pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
+    bounds = best(found).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    bounded = queries.join(bounds, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "vec", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    filled = np.flatnonzero(sizes)
+    n_chunks = -(-sizes.flat[filled] // CHUNK)
+    piece = np.repeat(np.arange(len(filled)), n_chunks)
+    piece_part = (filled[piece] * SPREAD + (np.arange(n_chunks.sum()) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)) * SPREAD_CHUNK) % parts
+
+    def reached(q: np.ndarray, bound: float, cells: np.ndarray) -> np.ndarray:
+        """Which cells can hold a vector within bound of q; what isn't a number is reached."""
+        low, at = least_squared(q, books, (cells // len(books[1]), cells % len(books[1])), rings[cells]), bound * bound
+        return ~(low > at + ROUNDING * (q @ q + at + low))
+
+    def revisit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, dealt = [], []
+            for i, (q, bound) in enumerate(zip(matrix(b.column(1)), b.column(2).to_pylist(), strict=True)):
+                hit = np.zeros(parts, bool)
+                hit[piece_part[reached(q, bound, filled)[piece]]] = True
+                dealt += np.flatnonzero(hit).tolist()
+                at += [i] * int(hit.sum())
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int64()), *(c.take(at) for c in b.columns)], names=["part", "query_id", "vec", "bound"])
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            cells, inverse = np.unique(np.asarray(left.column("key")) >> 32, return_inverse=True)
+            ids, vectors = np.asarray(left.column("vec_id")), matrix(left.column("vec"))
+            asks, own, bounds = matrix(right.column("vec")), right.column("query_id").to_pylist(), np.asarray(right.column("bound"))
+            lengths, tile = (vectors * vectors).sum(1), max(1, TILE // len(vectors))
+            for lo in range(0, len(asks), tile):
+                near = squared(asks[lo : lo + tile], vectors)  # by products, so rounded; what may be near enough is measured anew
+                for i, d in enumerate(near, lo):
+                    q, at = asks[i], bounds[i] * bounds[i]
+                    rows = np.flatnonzero(~(d > at + ROUNDING * (q @ q + lengths)) & reached(q, bounds[i], cells)[inverse])
+                    if len(rows):
+                        out += [(own[i], v, x) for x, v in nearest_ids(ids[rows], vectors[rows], own[i], q, k)]
+        return pa.table({"query_id": pa.array([g[0] for g in out], pa.int64()), "vec_id": pa.array([g[1] for g in out], pa.int64()), "score": pa.array([g[2] for g in out], pa.float64())})
+
+    asked = bounded.mapInArrow(revisit, "part long, query_id long, vec array<double>, bound double")
+    found = stored.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(settle, "query_id long, vec_id long, score double")
+    return best(found).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -222,6 +222,33 @@ def test_search_against_brute_force(spark):
     assert annsearch.search(few, few).count() == 6
 
 
+def test_search_is_exact_whatever_its_first_pass_reaches(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 32))
+    x[:900] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<double>")
+    got = {}
+    for r in annsearch.search(df, df.filter("vec_id % 300 = 0"), reach=1).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, 6000, 300):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert got[q] == np.lexsort((np.arange(6000), d))[:10].tolist()
+
+
+def test_cells_left_out_hold_nothing_near():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(200, 6)) * 0.1 + c for c in rng.normal(size=(5, 6)) * 5])
+    books = [annsearch.k_means(p, 6) for p in (x[:, :3], x[:, 3:])]
+    a, c = annsearch.nearest(x[:, :3], books[0]), annsearch.nearest(x[:, 3:], books[1])
+    off = [np.sqrt(((p - b[i]) ** 2).sum(1)) for p, b, i in zip((x[:, :3], x[:, 3:]), books, (a, c), strict=True)]
+    cells, inverse = np.unique(a * 6 + c, return_inverse=True)
+    rings = np.array([[f(d[inverse == i]) for d in off for f in (np.min, np.max)] for i in range(len(cells))])
+    for q in x[::50]:
+        low, d = annsearch.least_squared(q, books, (cells // 6, cells % 6), rings), ((x - q) ** 2).sum(1)
+        assert (low[inverse] <= d + 1e-9).all() and low.max() > 1
+
+
 def test_traverse_is_in_order():
     rng = np.random.default_rng(1)
     left, right, sizes = rng.random(9), rng.random(7), rng.integers(0, 3, (9, 7))
