@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.operators.series import KEY, T, Y, acf, centred, interpolated, lag_products, ordered, whole
+from seriesloom.operators.series import KEY, T, Y, acf, centred, interpolated, ordered, whole
 
 # Critical values of the KPSS test and their levels.
 KPSS_P = (0.10, 0.05, 0.025, 0.01)
@@ -19,30 +19,44 @@ def lag_length(n: Column, short: bool = True) -> Column:
     return F.floor((4 if short else 12) * F.pow(n / 100.0, F.lit(0.25))).cast("int")
 
 
-def kpss(df: DataFrame, *, trend: bool = False, short: bool = True, lag: int | None = None, alpha: float = 0.05, max_lag: int = 12) -> DataFrame:
-    """(series_id, n, stat, p, diff): stationarity round a level or a trend; the long-run variance has Bartlett weights."""
+def kpss(df: DataFrame, *, trend: bool = False, short: bool = True, lag: int | None = None, alpha: float = 0.05) -> DataFrame:
+    """(series_id, n, stat, p, diff): stationarity round a level or a trend; the long-run variance has Bartlett weights.
+
+    As many lag products are summed as the lag asks for, however long a series is.
+    """
     if trend:
         x = F.col(T).cast("double")
         slope, mean_t, mean_y = F.regr_slope(F.col(Y), x).over(whole()), F.avg(x).over(whole()), F.avg(Y).over(whole())
         e = df.withColumn("e", F.col(Y) - mean_y - slope * (x - mean_t))
     else:
         e = centred(df)
-    sums = lag_products(e, max_lag)
-    walk = e.withColumn("s", F.sum("e").over(ordered())).groupBy(KEY).agg(F.sum(F.col("s") ** 2).alias("walk"))
+    rows = e.withColumn("s", F.sum("e").over(ordered()))
+    sums = rows.groupBy(KEY).agg(F.count("*").alias("n"), F.sum(F.col("e") ** 2).alias("c0"), F.sum(F.col("s") ** 2).alias("walk"), _in_order("e").alias("es"))
     n = F.col("n")
-    used = F.lit(lag) if lag else lag_length(n, short)
-    spread = F.col("c0") / n + sum((F.when(used >= k, 2.0 / n * (1 - k / (used + 1.0)) * F.col(f"c{k}")).otherwise(0.0) for k in range(1, max_lag + 1)), F.lit(0.0))
+    spread = F.col("c0") / n + _lagged("es", n, F.lit(lag) if lag else lag_length(n, short))
     stat = F.col("walk") / (n * n) / F.col("spread")
     table = list(zip(KPSS_TREND if trend else KPSS_LEVEL, KPSS_P, strict=True))
-    return sums.join(walk, KEY).withColumn("spread", spread).withColumn("stat", stat).select(KEY, "n", "stat", interpolated(F.col("stat"), table).alias("p")).withColumn("diff", F.col("p") < alpha)
+    return sums.withColumn("spread", spread).withColumn("stat", stat).select(KEY, "n", "stat", interpolated(F.col("stat"), table).alias("p")).withColumn("diff", F.col("p") < alpha)
+
+
+def _in_order(column: str) -> Column:
+    """An aggregate: the column's values as an array in order, nulls in their places."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(T, column))), lambda r: r[column])
+
+
+def _lagged(values: str, n: Column, lag: Column) -> Column:
+    """What lags 1 to lag add to the long-run variance of an array of n residuals: their products, with Bartlett weights."""
+    e, size = F.col(values), F.size(values)
 
+    def product(k: Column) -> Column:
+        rest = F.greatest(size - k, F.lit(0))
+        return F.aggregate(F.zip_with(F.slice(e, k + 1, rest), F.slice(e, F.lit(1), rest), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda total, x: total + x)
 
-def _bartlett(products: Column, n: Column, lag: Column) -> Column:
-    """Lag products from lag 1 on, weighed."""
-    return F.transform(F.slice(products, F.lit(1), lag), lambda c, i: 2.0 / n * (1 - (i + 1) / (lag + 1.0)) * c)
+    lags = F.when(lag > 0, F.sequence(F.lit(1), F.greatest(lag, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(lags, F.lit(0.0), lambda total, k: total + 2.0 / n * (1 - k / (lag + 1.0)) * product(k))
 
 
-def n_diffs(df: DataFrame, *, most: int = 2, alpha: float = 0.05, max_lag: int = 12) -> DataFrame:
+def n_diffs(df: DataFrame, *, most: int = 2, alpha: float = 0.05) -> DataFrame:
     """(series_id, d): how often to difference until the KPSS test accepts, with lag trunc(3 sqrt(n) / 13).
 
     All levels are columns of one pass: a single shuffle by series, whatever most is.
@@ -52,17 +66,16 @@ def n_diffs(df: DataFrame, *, most: int = 2, alpha: float = 0.05, max_lag: int =
     for k in levels[1:]:
         rows = rows.withColumn(f"y{k}", F.col(f"y{k - 1}") - F.lag(f"y{k - 1}").over(ordered()))
     rows = rows.select("*", *((F.col(f"y{k}") - F.avg(f"y{k}").over(whole())).alias(f"e{k}") for k in levels))
-    rows = rows.select("*", *(F.sum(f"e{k}").over(ordered()).alias(f"s{k}") for k in levels), *(F.lag(f"e{k}", j).over(ordered()).alias(f"e{k}_{j}") for k in levels for j in range(1, max_lag + 1)))
+    rows = rows.select("*", *(F.sum(f"e{k}").over(ordered()).alias(f"s{k}") for k in levels))
     sums = rows.groupBy(KEY).agg(
         *(f for k in levels for f in (F.count(f"y{k}").alias(f"n{k}"), (F.min(f"y{k}") == F.max(f"y{k}")).alias(f"flat{k}"), F.sum(F.col(f"s{k}") ** 2).alias(f"walk{k}"), F.sum(F.col(f"e{k}") ** 2).alias(f"c{k}_0"))),
-        *(F.coalesce(F.sum(F.col(f"e{k}") * F.col(f"e{k}_{j}")), F.lit(0.0)).alias(f"c{k}_{j}") for k in levels for j in range(1, max_lag + 1)),
+        *(_in_order(f"e{k}").alias(f"es{k}") for k in levels),
     )
     spreads = []
     for k in levels:
         n = F.col(f"n{k}")
         lag = F.greatest(F.lit(1), F.floor(3 * F.sqrt(n) / 13)).cast("int")
-        products = _bartlett(F.array(*(F.col(f"c{k}_{j}") for j in range(1, max_lag + 1))), n, lag)
-        spreads.append(F.aggregate(products, F.col(f"c{k}_0") / n, lambda total, x: total + x).alias(f"spread{k}"))
+        spreads.append((F.col(f"c{k}_0") / n + _lagged(f"es{k}", n, lag)).alias(f"spread{k}"))
     found = sums.select("*", *spreads)
     d = F.lit(most)
     for k in reversed(levels):

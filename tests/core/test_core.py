@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 from seriesloom.functions import stats
-from seriesloom.kernels import arma
+from seriesloom.kernels import arma, unitroot
 from seriesloom.operators import series
 from seriesloom.plans import models
 
@@ -148,3 +148,33 @@ def test_n_diffs(spark):
     both = frame(spark, noise, "noise").unionByName(frame(spark, noise.cumsum(), "walk")).unionByName(frame(spark, noise.cumsum().cumsum(), "twice")).unionByName(frame(spark, np.ones(50), "flat"))
     assert {r[0]: r[1] for r in stats.n_diffs(both).collect()} == {"noise": 0, "walk": 1, "twice": 2, "flat": 0}
     assert stats.n_diffs(frame(spark, np.log(AIR))).first()["d"] == 1
+
+
+def kpss_by_definition(y, lag, trend=False):
+    t, n = np.arange(len(y)), len(y)
+    e = y - np.polyval(np.polyfit(t, y, 1), t) if trend else y - y.mean()
+    spread = e @ e / n + 2 / n * sum((1 - k / (lag + 1)) * (e[k:] @ e[: n - k]) for k in range(1, min(lag, n - 1) + 1))
+    return (np.cumsum(e) ** 2).sum() / n**2 / spread
+
+
+def test_kpss_sums_every_lag(spark):
+    y = np.random.default_rng(1).normal(size=400).cumsum()
+    one = frame(spark, y)
+    for options, lag in (({"short": False}, 16), ({"lag": 30}, 30), ({"lag": 25, "trend": True}, 25), ({}, 5), ({"lag": 500}, 500)):
+        assert stats.kpss(one, **options).first()["stat"] == pytest.approx(kpss_by_definition(y, lag, options.get("trend", False)), rel=1e-9)
+
+
+def test_n_diffs_of_long_series(spark):
+    rng, long = np.random.default_rng(0), {}
+    while len(long) < 3:  # series for which 12 of 13 or more lag products give another answer
+        y = np.zeros(4032)
+        for i, x in enumerate(rng.normal(size=4032)):
+            y[i] = 0.95 * y[i - 1] + x
+        n, e = len(y), y - y.mean()
+        cut = (np.cumsum(e) ** 2).sum() / n**2 / (e @ e / n + 2 / n * sum((1 - k / 15) * (e[k:] @ e[: n - k]) for k in range(1, 13)))
+        if (cut > 0.463) != (kpss_by_definition(y, 14) > 0.463):
+            long[f"s{len(long)}"] = y
+    rows = frame(spark, [], "none")
+    for name, y in long.items():
+        rows = rows.union(frame(spark, y, name))
+    assert {r[0]: r[1] for r in stats.n_diffs(rows).collect()} == {name: unitroot.n_diffs(y) for name, y in long.items()}
