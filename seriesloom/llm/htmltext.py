@@ -1,6 +1,7 @@
 """Text of HTML pages, laid out: a tree with implied tags, visibility, and a rendering of blocks, lists and tables.
 
-Start tags close what HTML says they close (a paragraph before a block, a list item before the next, cells, rows, options),
+Start tags close what HTML says they close (a paragraph before a block, a list item before the next, cells, rows, options, a head
+before anything that doesn't belong there, text too),
 void elements have no content, and end tags close what stands open inside. Nothing is shown of head matter, scripts, styles,
 templates and form values, nor of elements that are hidden by attribute or inline style. Blocks begin on lines of their own,
 paragraphs, headings, lists and tables are set off by an empty line, items have bullets or numbers, and the cells of a
@@ -46,6 +47,8 @@ IMPLIED = {
     "thead": (("thead", "tbody", "tfoot"), ("table",)), "tbody": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody", "tfoot"), ("table",)),
     "option": (("option",), ("select",)), "body": (("head",), ()),
 }
+#: Start tags that leave an open head open; any other, and text, ends it.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 DEEPEST = 200
 
 
@@ -60,6 +63,15 @@ class Node:
             self.shown = not (style and UNSEEN.search(style[1] or style[2] or style[3] or "")) and not HIDDEN.search(QUOTED.sub("", attrs))
 
 
+def end_head(stack: list[Node]) -> None:
+    """Closes a head that is the open element, and begins the body that is implied then."""
+    del stack[-1]
+    if all(n.tag != "body" for n in stack):
+        body = Node("body")
+        stack[-1].inside.append(body)
+        stack.append(body)
+
+
 def parse(page: str) -> Node:
     root = Node("html")
     stack, at, size = [root], 0, len(page)
@@ -70,6 +82,8 @@ def parse(page: str) -> Node:
         if tag is None:
             text = m[0]
             if text[:2] not in ("<!", "<?"):
+                if stack[-1].tag == "head" and not SPACE.fullmatch(text):
+                    end_head(stack)
                 stack[-1].inside.append(text if "&" not in text else html.unescape(text))
             continue
         tag = tag.lower()
@@ -85,6 +99,10 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body") and len(stack) > 1 and any(n.tag == tag for n in stack):
             continue
+        if tag == "head" and any(n.tag in ("head", "body") for n in stack):
+            continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD and tag not in ("html", "body"):
+            end_head(stack)
         ends, fence = IMPLIED.get(tag, ((), ()))
         if tag in CLOSES_P:
             ends, fence = (*ends, "p"), (*fence, "td", "th", "button", "table")

@@ -316,3 +316,10 @@ def test_html_layout(spark):
     assert htmltext.text_of("a < b <") == "a < b <"
     df = spark.createDataFrame([(1, page, "x"), (2, None, "y"), (3, "", None)], "page_id long, html string, text string")
     assert {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()} == {1: want, 2: None, 3: ""}
+
+
+def test_html_head_ends_by_itself():
+    for start in ("<p>Hello", "<div>Hello</div>", "<h1>Hello", "<table><tr><td>Hello</table>", "Hello", "&nbsp;<b>Hello</b>"):
+        assert htmltext.text_of(f"<html><head><title>T</title><meta charset=u><style>p{{}}</style>\n<!-- c -->{start}").strip() == "Hello"
+    assert htmltext.text_of("<html><head><title>T</title>\n</head><body><head><p>a</head><p>b") == "a\n\nb"
+    assert htmltext.text_of("<head><noscript><link></noscript><script>x</script></head>a") == "a"
