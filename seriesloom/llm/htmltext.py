@@ -3,7 +3,10 @@
 Start tags close what HTML says they close (a paragraph before a block, a list item before the next, cells, rows, options, a head
 before anything that doesn't belong there, text too),
 void elements have no content, and end tags close what stands open inside. Nothing is shown of head matter, scripts, styles,
-templates and form values, nor of elements that are hidden by attribute or inline style. Blocks begin on lines of their own,
+templates, input values, suggestions (datalist) and what stands in for frames and media, nor of elements that are hidden by
+attribute or inline style; options, text areas, formulas, the text of drawings, and what stands in for objects are shown.
+Rows and cells end what stands open in their table and imply a row; what else stands in a table or row, outside of cells
+and captions, is shown before the table. Blocks begin on lines of their own,
 paragraphs, headings, lists and tables are set off by an empty line, items have bullets or numbers, and the cells of a
 table are padded to columns. White space is collapsed but in ``pre``.
 
@@ -36,10 +39,12 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SILENT = frozenset("head script style template title noembed noframes iframe object svg math select option datalist textarea audio video canvas".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul".split())
+SILENT = frozenset("head script style template title noembed noframes iframe datalist audio video canvas annotation annotation-xml".split())
+#: Of a drawing, what is drawn only elsewhere or not at all; and what shows text.
+UNDRAWN, DRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata".split()), frozenset("text foreignobject".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
-CLOSES_P = BLOCK - {"html", "body", "li", "dd", "dt", "legend", "summary", "figcaption"}
+CLOSES_P = BLOCK - {"html", "body", "li", "dd", "dt", "legend", "summary", "figcaption", "option", "optgroup"}
 #: A start tag of the first kind ends an open element of the second, unless one of the third stands between.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -49,6 +54,11 @@ IMPLIED = {
 }
 #: Start tags that leave an open head open; any other, and text, ends it.
 IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+#: What a table, and its groups and rows, hold; and which of these a part of a table is put into, where they stand open.
+GROUPS = ("thead", "tbody", "tfoot")
+PARTS = {"caption": (), "colgroup": (), "col": ("colgroup",), **dict.fromkeys(GROUPS, ()), "tr": GROUPS, "td": ("tr", *GROUPS), "th": ("tr", *GROUPS)}
+BETWEEN_CELLS = frozenset(("table", "tr", "colgroup", *GROUPS))
+KEPT_BETWEEN = frozenset("script style template".split())
 DEEPEST = 200
 
 
@@ -72,6 +82,17 @@ def end_head(stack: list[Node]) -> None:
         stack.append(body)
 
 
+def innermost_table(stack: list[Node]) -> int:
+    """Its place in the stack, or 0."""
+    return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "table"), 0)
+
+
+def before_table(stack: list[Node], x: Node | str) -> None:
+    """Puts x, which no table, group or row holds, before the innermost table; an open one is the last its parent holds."""
+    at = innermost_table(stack)
+    (stack[at - 1].inside.insert(-1, x) if at else stack[-1].inside.append(x))
+
+
 def parse(page: str) -> Node:
     root = Node("html")
     stack, at, size = [root], 0, len(page)
@@ -84,7 +105,11 @@ def parse(page: str) -> Node:
             if text[:2] not in ("<!", "<?"):
                 if stack[-1].tag == "head" and not SPACE.fullmatch(text):
                     end_head(stack)
-                stack[-1].inside.append(text if "&" not in text else html.unescape(text))
+                text = text if "&" not in text else html.unescape(text)
+                if stack[-1].tag in BETWEEN_CELLS and not SPACE.fullmatch(text):
+                    before_table(stack, text)
+                else:
+                    stack[-1].inside.append(text)
             continue
         tag = tag.lower()
         if m[1]:
@@ -103,6 +128,20 @@ def parse(page: str) -> Node:
             continue
         if stack[-1].tag == "head" and tag not in IN_HEAD and tag not in ("html", "body"):
             end_head(stack)
+        table_at, fostered = innermost_table(stack) if tag in PARTS or stack[-1].tag in BETWEEN_CELLS else 0, False
+        if table_at and tag in PARTS:
+            del stack[next((i for i in range(len(stack) - 1, table_at, -1) if stack[i].tag in PARTS[tag]), table_at) + 1 :]
+            if tag in ("td", "th") and stack[-1].tag != "tr":
+                row = Node("tr")
+                stack[-1].inside.append(row)
+                if len(stack) < DEEPEST:
+                    stack.append(row)
+        elif table_at and tag == "table":
+            del stack[table_at:]
+        elif table_at and tag not in KEPT_BETWEEN:
+            if tag == "form":
+                continue
+            fostered = True
         ends, fence = IMPLIED.get(tag, ((), ()))
         if tag in CLOSES_P:
             ends, fence = (*ends, "p"), (*fence, "td", "th", "button", "table")
@@ -113,10 +152,11 @@ def parse(page: str) -> Node:
             if stack[i].tag in fence:
                 break
         node = Node(tag, m[3])
-        stack[-1].inside.append(node)
+        before_table(stack, node) if fostered and stack[-1].tag in BETWEEN_CELLS else stack[-1].inside.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            node.inside.append(page[at : end.start() if end else size])
+            raw = page[at : end.start() if end else size]
+            node.inside.append(html.unescape(raw.removeprefix("\n")) if tag == "textarea" else raw)
             at = end.end() if end else size
         elif tag not in VOID and not m[3].endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
@@ -167,6 +207,16 @@ class Page:
         return self.lines
 
 
+def drawn(node: Node) -> Iterator[Node]:
+    """The elements of a drawing that show text."""
+    for x in node.inside:
+        if isinstance(x, Node) and x.shown and x.tag not in UNDRAWN:
+            if x.tag in DRAWN:
+                yield x
+            else:
+                yield from drawn(x)
+
+
 def lay_out(node: Node, page: Page, pre: bool = False, bullet: list | None = None) -> None:
     for x in node.inside:
         if isinstance(x, str):
@@ -176,6 +226,11 @@ def lay_out(node: Node, page: Page, pre: bool = False, bullet: list | None = Non
             page.end_line(forced=True)
         elif not x.shown:
             continue
+        elif x.tag == "svg":
+            for text in drawn(x):
+                page.text(" ", pre)
+                lay_out(text, page, pre)
+                page.text(" ", pre)
         elif x.tag == "table":
             page.space()
             for line in table_lines(x):
@@ -200,7 +255,7 @@ def lay_out(node: Node, page: Page, pre: bool = False, bullet: list | None = Non
                 lay_out(x, page, pre or x.tag == "pre", None if x.tag in ("td", "th") else bullet if x.tag in ("div", "section") else None)
             page.space() if x.tag in SPACED and bullet is None else page.end_line()
         else:
-            lay_out(x, page, pre, bullet)
+            lay_out(x, page, pre or x.tag == "textarea", bullet)
 
 
 def rows_of(node: Node) -> Iterator[Node]:

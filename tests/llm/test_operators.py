@@ -323,3 +323,21 @@ def test_html_head_ends_by_itself():
         assert htmltext.text_of(f"<html><head><title>T</title><meta charset=u><style>p{{}}</style>\n<!-- c -->{start}").strip() == "Hello"
     assert htmltext.text_of("<html><head><title>T</title>\n</head><body><head><p>a</head><p>b") == "a\n\nb"
     assert htmltext.text_of("<head><noscript><link></noscript><script>x</script></head>a") == "a"
+
+
+def test_html_tables_lose_no_text():
+    text = htmltext.text_of
+    assert text("<table><tr><form><td>a<td>b</form></tr><tbody><form><tr><td>c</table>") == "a  b\nc"
+    assert text("<table><tbody><td>a</td><td>b</td><tr><td>c</table>d") == "a  b\nc\n\nd"
+    assert text("<table>x<tr>y<td>a</td>z<div>w<b>v</b></div><td>b</table>") == "xyz\nwv\n\na  b"
+    assert text("<table><tr><div><td>a<td>b</div></table>") == "a  b"
+    assert text("<table><caption>C</caption><colgroup><col>t<tr><td>a<table><tr><td>in</table></table>e") == "t\n\nC\na\nin\n\ne"
+    assert text("<td>a</td><tr>b") == "ab" and text("<table><tr><td>a<table><td>b</table>c<td>d</table>") == "a  d\nb\nc"
+
+
+def test_html_shows_what_browsers_show():
+    text = htmltext.text_of
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> holds") == "so x=1 holds"
+    assert text("a<svg><title>no</title><defs><text>no</text></defs><g><path/><text x=1>one</text><text>two</text></g></svg>b") == "a one two b"
+    assert text("<p>pick <select><option>A<option>B</select></p><datalist><option>no</datalist>") == "pick\nA\nB"
+    assert text("<textarea>\na &lt; b</textarea>") == "a < b" and text("<object data=x><p>instead</object>") == "instead"
