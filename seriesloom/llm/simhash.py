@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import materialize, table
@@ -183,9 +183,8 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id."""
-    each = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
+def grouped(each: DataFrame) -> DataFrame:
+    """From (doc_id, fp) to one row for each fingerprint: _fp, root (a fingerprint that names the group), component_id."""
     reps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(links(reps))
     rooted = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
@@ -193,15 +192,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = rooted.filter("root != fp")
     groups = member.unionByName(lead)
     least = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = groups.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    known = reps.join(named, reps["fp"] == named["_fp"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "rep").alias("component_id"))
+    named = groups.join(least, "root").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), "component_id")
+    return reps.join(named, reps["fp"] == named["_fp"], "left").select(F.col("fp").alias("_fp"), F.coalesce("_root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """One row per document: doc_id, fp (signed long), component_id."""
+    each = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
+    known = grouped(each).drop("root")
     return each.join(known, each["fp"] == known["_fp"]).drop("_fp")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their group, with all their columns."""
-    drop = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(drop, docs[id_col] == F.col("_id"), "left_anti")
+    """One document of each group, with all its columns: that of the smallest id, nulls last.
+
+    Of rows with that id in the group it is the one with the smallest hash of all columns (but maps); of equal rows, one.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    row = docs.withColumns({"_h": F.xxhash64(*hashed, *(c.isNull() for c in hashed)), "_g": F.xxhash64(F.lit(1), *hashed, *(c.isNull() for c in hashed))})
+    keys = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "_h", "_g").alias("key")
+    each = materialize(fingerprints(row.select(keys, text_col), id_col="key", text_col=text_col).select("doc_id.*", "fp"))
+    known = grouped(each.select(F.col("id").alias("doc_id"), "fp"))
+    first = each.join(known, each["fp"] == known["_fp"]).groupBy("root").agg(F.min(F.struct("no_id", "id", "_h", "_g")).alias("x")).select("x._h", "x._g")
+    kept = row.join(first, ["_h", "_g"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("_h", "_g").orderBy("_h"))
+    return kept.withColumn("_n", place).filter("_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

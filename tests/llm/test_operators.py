@@ -341,3 +341,23 @@ def test_html_shows_what_browsers_show():
     assert text("a<svg><title>no</title><defs><text>no</text></defs><g><path/><text x=1>one</text><text>two</text></g></svg>b") == "a one two b"
     assert text("<p>pick <select><option>A<option>B</select></p><datalist><option>no</datalist>") == "pick\nA\nB"
     assert text("<textarea>\na &lt; b</textarea>") == "a < b" and text("<object data=x><p>instead</object>") == "instead"
+
+
+def test_one_of_each_keeps_one_row_of_every_group(spark, docs, empty):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    table = [(1, a, "x"), (5, a, "y"), (5, b, "alone"), (None, c, "n1"), (None, c, "n2"), (7, None, "t"), (7, None, "t"), (7, None, "u")]
+    got = simhash.one_of_each(spark.createDataFrame(table, "doc_id long, text string, w string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(1, a), (5, b), (0, c), (7, "")])
+    prints = [brute_fingerprint(r[1]) for r in rows()]
+    group = list(range(len(prints)))
+    for _ in prints:
+        for i, x in enumerate(prints):
+            for j, y in enumerate(prints):
+                if (x ^ y).bit_count() <= 4:
+                    group[i] = group[j] = min(group[i], group[j])
+    least = {}
+    for r, g in zip(rows(), group, strict=True):
+        least[g] = min(least.get(g, (True, 0)), (r[0] is None, r[0] or 0))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in simhash.one_of_each(docs).collect()) == sorted(least.values())
+    assert simhash.one_of_each(empty).count() == 0
