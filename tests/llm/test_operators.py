@@ -197,6 +197,74 @@ def test_line_dedup_against_brute_force(docs, empty):
     assert linededup.repeated_lines(empty).count() == 0
 
 
+def brute_passages(table, least):
+    """Units, repeated and removed units and spans of each different (id, text), written apart from the operator."""
+    ends, docs, seen, out = set("\n.!?。！？"), sorted({(d is None, d or 0, t or "") for d, t in table}), set(), {}
+    for no_id, d, text in docs:
+        units, start = [], 0
+        for i, c in enumerate(text):
+            if i + 1 == len(text) or c in ends and text[i + 1] not in ends:
+                norm = " ".join("".join(x.lower() if x.isascii() else x for x in w) for w in re.findall(r"[^\x20\x09-\x0D]+", text[start : i + 1]))
+                if norm:
+                    units.append((start, i + 1, norm))
+                start = i + 1
+        later = []
+        for _, _, norm in units:
+            later.append(norm in seen)
+            seen.add(norm)
+        spans, gone, k = [], 0, 0
+        while k < len(units):
+            j = k
+            while j < len(units) and later[j]:
+                j += 1
+            if sum(len(u[2].encode()) for u in units[k:j]) >= least and j > k:
+                spans.append((units[k][0], units[j - 1][1]))
+                gone += j - k
+            k = max(j, k + 1)
+        out[no_id, d, text] = (len(units), sum(later), gone, spans)
+    return out
+
+
+PASSAGE = "One sentence of the passage stands here. Then comes another, of more words! Is a third one asked for? It ends"
+
+
+def passages(rng):
+    """Documents with a passage inside longer lines, as lines, broken over lines, in other case and spacing, and in a script without spaces."""
+    chinese = "这是一个没有空格的句子，用来检验重复的段落是否会被找到。第二句话也很长，足以让整个段落超过一百个字节。"
+    texts = [f"{prose(rng, 9)} {PASSAGE} {prose(rng, 5)}", f"{prose(rng, 4)}. {PASSAGE}, {prose(rng, 7)}\n\nHome\nHome", PASSAGE.replace(" ", "  ").upper() + "\nHome.", PASSAGE.replace(". ", ".\n").replace("? ", "?\n"), f"前{chinese}", f"{chinese}后", "a. b. c. " * 30, "...", None, "", " \n ", "Home"]
+    return [(i * 5 % 13, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("least", [1, 60, 100])
+def test_passages_against_brute_force(spark, docs, least):
+    for table in ([(r[0], r[1]) for r in rows()], passages(random.Random(3))):
+        want = brute_passages(table, least)
+        df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+        hashes = {r["h"]: r["text"] or "" for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+        got = linededup.repeated_passages(df, min_bytes=least).collect()
+        assert len(got) == len(table) and any(r["removed"] for r in got)
+        for r in got:
+            key = (r["doc_id"] is None, r["doc_id"] or 0, hashes[r["text_hash"]])
+            assert (r["n_units"], r["n_repeated"], r["n_removed"], [tuple(x) for x in r["removed"]]) == want[key]
+        for r in linededup.without_passages(df.withColumn("key", F.xxhash64("text")), min_bytes=least).collect():
+            text, cut = hashes[r["key"]], []
+            for a, z in want[r["doc_id"] is None, r["doc_id"] or 0, text][3]:
+                cut += range(a, z)
+            assert (r["text"] or "") == "".join(c for i, c in enumerate(text) if i not in set(cut))
+
+
+def test_hot_units_are_not_shuffled(spark, monkeypatch):
+    from seriesloom.llm import common
+
+    table = [(i, f"{PASSAGE}. Number {i} has a sentence of its own, {i * i}.") for i in range(1500)] + [(2000, None)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    monkeypatch.setattr(common, "HOT_SHARE", 0.2)
+    want = brute_passages(table, 100)
+    got = linededup.repeated_passages(df).collect()
+    assert sorted((r["doc_id"], [tuple(x) for x in r["removed"]]) for r in got) == sorted((d, v[3]) for (_, d, _), v in want.items())
+    assert linededup.repeated_passages(df.limit(0)).count() == 0
+
+
 def test_search_against_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8)).round(1)
