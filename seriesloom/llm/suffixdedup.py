@@ -3,25 +3,26 @@
 Every byte goes that is covered by a string of ``LENGTH`` (50) bytes which also starts in a document with a smaller id.
 Sorting the suffixes of a whole corpus would move fifty times its size, so the work goes in four steps:
 
-1. Documents are dealt once to groups by a hash, in a bucketed table in the warehouse that later steps read in place.
+1. Documents are dealt once to groups by a hash, in a bucketed table in the checkpoint folder that later steps read in place.
 2. Each start of a 50-byte string is given an anchor: the place of the smallest hash of a 16-byte gram inside the string.
    Equal strings have equal anchors, at the same offset; neighbouring starts share one, some 18 on average. Each group
    sends the hashes of its anchors, once each, with the smallest document; buckets of hashes answer with a bit for each
    that some other document has too. Strings with other anchors occur in no two documents.
 3. Round each anchor that is left, a group sends the bytes of its strings (84 at most), each different context once with
-   its smallest document. A bucket of anchor hashes is a block of suffixes; it is sorted as such: the suffixes that share
-   an anchor with others are sorted one bucket of first bytes at a time by their first 31 bytes, and ties beyond by the
-   ranks of the cover sample, the positions whose residue modulo 31 is in a difference cover, computed beforehand.
-   Contexts stand so that equal strings have equal residues. Neighbours with 50 common bytes form runs, and the answer
-   for a start is the smallest document of its run.
+   its smallest document. A bucket of anchor hashes is cut into blocks that keep an anchor's contexts together, and the suffixes
+   of each block are sorted, one bucket of first bytes at a time, by their first 31 bytes, and ties beyond by the ranks of the cover
+   sample, the places whose residue modulo 31 is in a difference cover. These are computed beforehand, by a sort of 31 bytes and
+   one doubling. Contexts stand so that equal strings have equal residues. Neighbours with 50 common bytes form runs,
+   and the answer for a start is the smallest document of its run.
 4. Each group marks the strings whose answer is smaller than the document they stand in, and cuts.
 
-A string that a third of all documents share is sent once by each group, not once for each document, and no task has more
-than a bucket of hashes or a group of documents; both numbers follow spark.sql.shuffle.partitions.
+A string that a third of all documents share is sent once by each group, not once for each document. A task has a bucket of hashes
+or a group of documents at a time; both are sized by the bytes of all texts (``GROUP_BYTES``), however few partitions
+are asked for. The different contexts of one anchor are sorted in one task.
 
 Defined results: a null text is empty; a document with a null id is left alone and takes nothing from others; rows with
-equal ids don't take from each other; texts of any length are read in blocks; an empty table gives an empty result; other columns are
-ignored by :func:`removals` and kept by :func:`deduplicated`, which drops the incomplete characters that a cut leaves.
+equal ids don't take from each other; ids of any type that can be sorted; texts of any length are read in blocks; an empty table gives an empty result;
+other columns, of any name, are ignored by :func:`removals` and kept by :func:`deduplicated`, which drops the incomplete characters that a cut leaves.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from seriesloom.llm.common import materialize, partitions, table
+from seriesloom.llm.common import ensure_checkpoint_dir, materialize, partitions, table, whole_row
 
 LENGTH, GRAM = 50, 16
 #: Grams in a string; bytes of a context, whose anchor stands at LEFT.
@@ -43,10 +45,12 @@ LEFT = GRAMS - 1
 WIDTH = LEFT + LENGTH
 #: A difference cover: every residue modulo COVER is the difference of two of its members.
 COVER, MEMBERS = 31, (1, 5, 11, 24, 25, 27)
-BLOCK = 1 << 23
+BLOCK, SORTED = 1 << 18, 8000
 PLACE = np.uint64((1 << 24) - 1)
 #: Groups of documents and buckets of hashes for each shuffle partition; a group sends a bucket one row.
 GROUPS_EACH, BUCKETS_EACH = 2, 2
+#: Bytes of text in a group at most, on average, however few partitions there are.
+GROUP_BYTES = 64_000_000
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 
 
@@ -193,9 +197,42 @@ def to_cover() -> np.ndarray:
     return np.array([next(d for d in range(COVER) if (c + d) % COVER in MEMBERS) for c in range(WIDTH)])
 
 
+def ranked(keys: list[np.ndarray]) -> np.ndarray:
+    """The rank of each place by keys, the weightiest first; equal places rank equal."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    rank = np.zeros(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def heads(w: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The first COVER (31) bytes from each place on, as four numbers."""
+    found = [w[at + 8 * k].astype(np.uint64) for k in range(4)]
+    found[3] >>= np.uint64(8)
+    return found
+
+
+def cover_ranks(w: np.ndarray, n: int, stride: int, wanted: np.ndarray) -> np.ndarray:
+    """[n, width]: ranks of the wanted places of the cover sample by their first 62 bytes.
+
+    The sample is sorted by 31 bytes; as a place and that 31 bytes on have one residue, both are in the sample, and a second sort by
+    the pair of their ranks doubles the length that decides.
+    """
+    row, col = np.nonzero(wanted)
+    rank = np.zeros((n, wanted.shape[1] + COVER), np.int64)
+    rank[row, col] = 1 + ranked(heads(w, row * stride + col))
+    both = [rank[row, col], rank[row, col + COVER]]
+    rank[row, col] = 1 + ranked(both)
+    return rank
+
+
 def suffix_runs(rows: np.ndarray, lo: np.ndarray, end: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """[rows, WIDTH]: for each start of a 50-byte string the smallest owner of an equal string, elsewhere the largest number."""
-    n, stride = len(rows), WIDTH + LENGTH + 6
+    n, stride = len(rows), WIDTH + 2 * COVER + 8
     text = np.zeros(n * stride + 64, np.uint8)
     text[: n * stride].reshape(n, stride)[:, :WIDTH] = rows
     w = words_at(text, ">")
@@ -205,28 +242,19 @@ def suffix_runs(rows: np.ndarray, lo: np.ndarray, end: np.ndarray, owner: np.nda
     if not len(row):
         return out
     step = to_cover()
-    # The cover sample: the positions that some suffix is led to. Its ranks are by 50 bytes.
-    wanted = np.zeros((n, WIDTH + COVER), bool)
+    # The cover sample: the places that some suffix is led to, and those 31 bytes on.
+    wanted = np.zeros((n, WIDTH + 2 * COVER), bool)
     wanted[row, col + step[col]] = True
-    s_row, s_col = np.nonzero(wanted)
-    place = s_row * stride + s_col
-    keys = [w[place + 8 * k].astype(np.uint64) for k in range(6)] + [w[place + 48].astype(np.uint64) >> np.uint64(48)]
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    rank = np.zeros(wanted.shape, np.int64)
-    rank[s_row[order], s_col[order]] = np.cumsum(new)
+    wanted[row, col + step[col] + COVER] = True
+    rank = cover_ranks(w, n, stride, wanted)
     # Suffixes, one bucket of first bytes at a time.
     lead = rows[row, col]
     grouped = np.argsort(lead, kind="stable")
     for bucket in np.split(grouped, np.flatnonzero(np.diff(lead[grouped])) + 1):
         r, c = row[bucket], col[bucket]
         at = r * stride + c
-        head = [w[at + 8 * k].astype(np.uint64) for k in range(4)]
-        head[3] >>= np.uint64(8)  # 31 bytes in all
-        order = np.lexsort((rank[r, c + step[c]], c % COVER, *head[::-1]))
+        # By 31 bytes; ties by the ranks of the sample, which for one residue are of places equally far on.
+        order = np.lexsort((rank[r, c + step[c]], c % COVER, *heads(w, at)[::-1]))
         at = at[order]
         same = np.ones(len(at) - 1, bool)
         for k in range(7):  # the common prefix of neighbours, up to 50 bytes
@@ -239,43 +267,89 @@ def suffix_runs(rows: np.ndarray, lo: np.ndarray, end: np.ndarray, owner: np.nda
 
 
 def answers(rows: np.ndarray, lo: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each context the smallest owner over all its starts if that is one, whether it isn't, and [varied, WIDTH] owners of those."""
+    """For each context the smallest owner over all its starts if that is one, whether it isn't, and [varied, WIDTH] owners of those.
+
+    Contexts that are the same to the byte are one block of text with the smallest of their owners; all others are sorted.
+    """
     order, first = alike(rows, lo, end)
     at = np.flatnonzero(first)
     which = np.zeros(len(rows), np.int64)
     which[order] = np.cumsum(first) - 1
     least = np.minimum.reduceat(owner[order], at)
     rows, lo, end = rows[order[at]], lo[order[at]], end[order[at]]
-    gram = np.ascontiguousarray(rows[:, LEFT : LEFT + GRAM]).view(np.uint64)
-    order = np.lexsort((gram[:, 1], gram[:, 0]))
-    g = gram[order]
-    same = (g[1:] == g[:-1]).all(1)
-    shared = np.zeros(len(rows), bool)
-    shared[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    shared = np.flatnonzero(shared)
-    found = suffix_runs(rows[shared], lo[shared], end[shared], least[shared])
-    valid = found != np.iinfo(np.int64).max
-    low, high = found.min(1, initial=np.iinfo(np.int64).max), np.where(valid, found, np.iinfo(np.int64).min).max(1, initial=np.iinfo(np.int64).min)
-    least[shared] = low
+    none, low, high, found = np.iinfo(np.int64).max, np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), []
+    for block in blocks(np.ascontiguousarray(rows[:, LEFT : LEFT + GRAM])):
+        x = suffix_runs(rows[block], lo[block], end[block], least[block])
+        low[block], high[block] = x.min(1), np.where(x == none, -1 - none, x).max(1)
+        differs = low[block] != high[block]
+        found.append((block[differs], x[differs]))
     place = np.full(len(rows), -1)
-    place[shared[low != high]] = np.flatnonzero(low != high)
+    varied = np.concatenate([b for b, _ in found])
+    place[varied] = np.arange(len(varied))
     own = place[which]
-    return least[which], own >= 0, found[own[own >= 0]]
+    return low[which], own >= 0, np.concatenate([x for _, x in found])[own[own >= 0]]
+
+
+def blocks(grams: np.ndarray):
+    """Numbers of contexts, in blocks of SORTED at least (but the last) in which each anchor's contexts stand together."""
+    g = grams.view(np.uint64)
+    order = np.lexsort((g[:, 1], g[:, 0]))
+    ordered = g[order]
+    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(1)])
+    starts, at = np.flatnonzero(new), 0
+    while at < len(order):
+        k = np.searchsorted(starts, at + SORTED)
+        end = int(starts[k]) if k < len(starts) else len(order)
+        yield order[at:end]
+        at = end
 
 
 def _rows(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def _cut(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
-    """finish(group, anchors, removed): the rows of a group; removed has a mark for each byte."""
-    spark = docs.sparkSession
+#: Folders that calls of this session have made in the checkpoint folder.
+_made: list[str] = []
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes the tables that this session's calls of deduplicated have written; what they have returned can't be computed again then."""
+    paths = _made if paths is None else paths
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _dealt(rows: DataFrame) -> tuple[DataFrame, int, str]:
+    """rows (_id, _text, _row) dealt to groups by a hash, read from a bucketed table in the checkpoint folder; buckets of hashes; the folder.
+
+    Groups and buckets are as many as partitions ask for, and more where GROUP_BYTES of text each wouldn't hold all.
+    """
+    spark = rows.sparkSession
     parts_n = partitions(spark)
-    groups, buckets = parts_n * GROUPS_EACH, parts_n * BUCKETS_EACH
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(groups)).cast("int").alias("_group"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("_row"))
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    groups, buckets = (max(parts_n * each, -(-size // GROUP_BYTES)) for each in (GROUPS_EACH, BUCKETS_EACH))
+    dealt = rows.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(groups)).cast("int").alias("_group"), "_id", "_text", "_row")
+    ensure_checkpoint_dir(spark)
     name = f"seriesloom_parts_{uuid.uuid4().hex}"
-    dealt.repartition(parts_n, "_group").write.option("compression", "zstd").bucketBy(parts_n, "_group").saveAsTable(name)
-    parts = spark.table(name)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    dealt.repartition(parts_n, "_group").write.option("compression", "zstd").option("path", path).bucketBy(parts_n, "_group").saveAsTable(name)
+    parts = spark.table(name)  # resolved now: the name goes, the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return parts, buckets, path
+
+
+def _ordered_ids(rows: DataFrame) -> DataFrame:
+    """rows (id, _text, _row) with _id, a long in the order of the ids: the id itself, or of other types the place in a sorted table of ids."""
+    if isinstance(rows.schema["id"].dataType, IntegralType):
+        return rows.withColumn("_id", F.col("id").cast("long"))
+    known = materialize(rows.select(F.col("id").alias("known")).filter("known IS NOT NULL").distinct().orderBy("known").withColumn("_id", F.monotonically_increasing_id()))
+    return rows.join(known, F.col("id") == F.col("known"), "left")
+
+
+def _cut(rows: DataFrame, finish, schema: str) -> tuple[DataFrame, str]:
+    """Of rows (id, _text, _row), finish(group, anchors, removed): the rows of a group; removed has a mark for each byte. And the folder it reads."""
+    parts, buckets, path = _dealt(_ordered_ids(rows).select("_id", "_text", "_row"))
     ids = lambda t: Anchors(t.column("_id"), t.column("_text"))
     names, types = ["_group", "kind", "bucket", "n", "blob"], [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     sent = "_group int, kind int, bucket int, n int, blob binary"
@@ -357,28 +431,39 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, finish, schema: str) -> Da
         return finish(group, a, np.cumsum(cover)[: len(a.buffer)] > 0)
 
     told = masks.unionByName(replies)
-    return parts.groupBy("_group").cogroup(told.groupBy("_group")).applyInArrow(mark, schema)
+    return parts.groupBy("_group").cogroup(told.groupBy("_group")).applyInArrow(mark, schema), path
+
+
+def _rows_of(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), row.alias("_row"))
 
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def finish(group: pa.Table, a: Anchors | None, removed: np.ndarray | None) -> pa.Table:
         out = []
-        for i, d in zip(range(group.num_rows), group.column("_id").to_pylist(), strict=True):
+        for i in range(group.num_rows):
             end, n = a.ends[i], a.sizes[i]
             gone, text = removed[end - n : end], a.buffer[end - n : end]
             spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-            out.append((d, int(n), int(gone.sum()), spans, hashlib.sha256(text[~gone].tobytes() if spans else text.tobytes()).hexdigest()))
-        return _rows(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], types, out)
+            out.append((int(n), int(gone.sum()), spans, hashlib.sha256(text[~gone].tobytes() if spans else text.tobytes()).hexdigest()))
+        return _rows(["n_bytes", "n_removed", "n_spans", "kept_sha256"], types, out).add_column(0, "doc_id", group.column("_row").combine_chunks().field("doc_id") if group.num_rows else pa.array([]))
 
-    return _cut(docs.select(id_col, text_col), id_col, text_col, finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    ids = docs.schema[id_col].dataType.simpleString()
+    cut, path = _cut(_rows_of(docs, id_col, text_col, F.struct(F.col(id_col).alias("doc_id"))), finish, f"doc_id {ids}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = materialize(cut)
+    release(docs.sparkSession, [path])
+    return out
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, their texts without what is removed."""
-    row = f"struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in docs.schema.fields if f.name != text_col)}>"
+    """The documents with all their columns, their texts without what is removed.
+
+    What is returned reads a table in the checkpoint folder, until :func:`release` deletes that.
+    """
+    others = docs.drop(text_col)
 
     def finish(group: pa.Table, a: Anchors | None, removed: np.ndarray | None) -> pa.Table:
         texts = group.column("_text").to_pylist()
@@ -389,7 +474,9 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 texts[i] = a.buffer[end - n : end][~gone].tobytes().decode("utf-8", "ignore")
         return pa.table([group.column("_row"), pa.array(texts, pa.string())], names=["_row", "_text"])
 
-    cut = _cut(docs, id_col, text_col, finish, f"_row {row}, _text string")
+    rows = _rows_of(docs, id_col, text_col, whole_row(others))
+    cut, path = _cut(rows, finish, f"_row {rows.schema['_row'].dataType.simpleString()}, _text string")
+    _made.append(path)
     return cut.select(*(F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
