@@ -5,7 +5,7 @@ fingerprints differ in one bit at most of some block. So there are three vantage
 distance is the Hamming distance inside the block and whose search radius is 1; where a node's fingerprints are all
 equal in the block, it measures whole fingerprints, with radius 4. A node has a vantage point and a median distance;
 by the triangle inequality, a fingerprint nearer to the median than the radius has to be looked for on both sides. The
-upper part of each tree is made on the driver from a bounded sample (``SAMPLE`` fingerprints) and deals out shards: each
+upper part of each tree is made on the driver from a bounded sample (a hundredth, ``SAMPLE`` to ``MOST_SAMPLE`` fingerprints) and deals out shards: each
 fingerprint is stored in one leaf of each tree and visits, as a guest, the leaves that overlap its ball. A task goes on
 splitting its leaf the same way, then compares what is left and grows components. It returns a star for each component,
 never all its pairs, so a group of copies makes as many edges as it has members.
@@ -15,7 +15,8 @@ fingerprints are joined over the cluster by rounds of large-star and small-star,
 
 Defined results: a null text and a text without words have fingerprint zero, which links like any other; a text of
 fewer than four words is one shingle; rows with equal ids are rows of their own with a common id; rows with a null id
-take part and have the smallest id that isn't null as component_id; an empty table gives an empty result.
+take part and have the smallest id that isn't null as component_id; texts of any length; an empty table gives an empty result; other
+columns, of any name, are ignored by :func:`near_duplicates` and kept by :func:`one_of_each`.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import materialize, table
+from seriesloom.llm.common import columns_of, joined_unevenly, materialize, sampled, table, whole_row
 
 BLOCKS = (0x3FFFFF, 0x1FFFFF << 22, 0x1FFFFF << 43)
 WHOLE = (1 << 64) - 1
 RADIUS, BLOCK_RADIUS = 4, 1
 #: Fingerprints from which the upper trees are made; stored fingerprints in a leaf; those that a task compares directly.
-SAMPLE, LEAF, DIRECT = 50_000, 2000, 1500
+SAMPLE, MOST_SAMPLE, LEAF, DIRECT = 50_000, 1_000_000, 2000, 1500
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -142,7 +143,8 @@ def stars(stored: np.ndarray, guests: np.ndarray, block: int, depth: int = 0) ->
 def links(distinct: DataFrame) -> DataFrame:
     """From distinct (fp) to edges (u, v), u > v, that join all fingerprints that a chain of links joins."""
     n = distinct.count()
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    want = max(SAMPLE, min(MOST_SAMPLE, n // 100))
+    sample = np.array([r[0] for r in sampled(distinct.select("fp"), F.col("fp"), want, n).orderBy(F.xxhash64("fp"), "fp").limit(want).collect()], np.int64).view(np.uint64)
     leaf = max(16, LEAF * len(sample) / max(n, 1))
     trees = [build(sample, k, leaf) for k in range(len(BLOCKS))]
 
@@ -184,8 +186,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(each: DataFrame) -> DataFrame:
-    """From (doc_id, fp) to one row for each fingerprint: _fp, root (a fingerprint that names the group), component_id."""
-    reps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    """From (doc_id, fp) to one row for each fingerprint: fp, n (rows that have it), root (a fingerprint that names the group), component_id."""
+    reps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     roots = components(links(reps))
     rooted = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     lead = reps.join(roots.select("root").distinct(), reps["fp"] == F.col("root")).select("fp", "rep", F.col("fp").alias("root"))
@@ -193,14 +195,19 @@ def grouped(each: DataFrame) -> DataFrame:
     groups = member.unionByName(lead)
     least = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = groups.join(least, "root").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), "component_id")
-    return reps.join(named, reps["fp"] == named["_fp"], "left").select(F.col("fp").alias("_fp"), F.coalesce("_root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
+    return reps.join(named, reps["fp"] == named["_fp"], "left").select("fp", "n", F.coalesce("_root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
+
+
+def with_groups(each: DataFrame) -> DataFrame:
+    """Each row of each (doc_id, fp and more) with root and component_id; a fingerprint that many rows have isn't shuffled."""
+    known = materialize(grouped(each.select("doc_id", "fp")))
+    return joined_unevenly(each, known, "fp", total=known.agg(F.sum("n")).first()[0] or 0).drop("n")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id."""
     each = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
-    known = grouped(each).drop("root")
-    return each.join(known, each["fp"] == known["_fp"]).drop("_fp")
+    return with_groups(each).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,14 +216,14 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Of rows with that id in the group it is the one with the smallest hash of all columns (but maps); of equal rows, one.
     """
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    row = docs.withColumns({"_h": F.xxhash64(*hashed, *(c.isNull() for c in hashed)), "_g": F.xxhash64(F.lit(1), *hashed, *(c.isNull() for c in hashed))})
-    keys = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "_h", "_g").alias("key")
-    each = materialize(fingerprints(row.select(keys, text_col), id_col="key", text_col=text_col).select("doc_id.*", "fp"))
-    known = grouped(each.select(F.col("id").alias("doc_id"), "fp"))
-    first = each.join(known, each["fp"] == known["_fp"]).groupBy("root").agg(F.min(F.struct("no_id", "id", "_h", "_g")).alias("x")).select("x._h", "x._g")
-    kept = row.join(first, ["_h", "_g"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("_h", "_g").orderBy("_h"))
-    return kept.withColumn("_n", place).filter("_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    both = [F.xxhash64(*hashed, *(c.isNull() for c in hashed)).alias("h"), F.xxhash64(F.lit(1), *hashed, *(c.isNull() for c in hashed)).alias("g")]
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *both)
+    keys = F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "g").alias("key")
+    each = materialize(fingerprints(rows.select(keys, "text"), id_col="key").select("doc_id.*", "fp"))
+    first = with_groups(each.withColumn("doc_id", F.col("id"))).groupBy("root").agg(F.min(F.struct("no_id", "id", "h", "g")).alias("x")).select("x.h", "x.g")
+    kept = rows.select("row", "h", "g").join(first, ["h", "g"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("h", "g").orderBy("h"))
+    return kept.withColumn("place", place).filter("place = 1").select(*columns_of(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
