@@ -8,13 +8,16 @@ copies are put in order of that time and cut off where their sizes reach the bud
 
 Neither order needs one task to see all rows. A source's running sum is taken in two steps: sums over 4096 slots of the
 shuffle hash, then inside a slot; so a source with a third of all rows is spread over 4096 keys. The global order is
-range-partitioned into time slots likewise: the slot in which the budget is reached is found from slot sums, and only
-that slot's rows are sorted.
+range-partitioned into time slots likewise: the slot in which the budget is reached is found from slot sums, and is cut into
+slots again until it has few rows (or one finish time), which alone are sorted. The driver sees 4096 sums at a time.
+
+The order is cut off at the first finish time whose copies don't fit. A document of more words than are left then ends the
+mix, so where single documents are as large as targets, sources may get less than their target (never more than a document more).
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; documents of size 0 are never
 taken; documents with equal ids have the same place in the shuffle and are taken or left together when their finish
-times agree; an empty table gives an empty result; other columns of the input are ignored by :func:`mix_table`, and
-kept by :func:`mix`.
+times agree; a text of any length is one document, never cut; an empty table gives an empty result; other columns of the input, of any
+name, are ignored by :func:`mix_table` and kept by :func:`mix`, whose own column has underscores added to ``copies`` if the input has that.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import SPACED_WORD, materialize
+from seriesloom.llm.common import SPACED_WORD, columns_of, materialize, whole_row
 
 #: Slots of a source's shuffle order (three hex digits of the hash) and of a unit of virtual time.
 TIME_SLOTS = 4096
+#: Virtual time in which the first slots lie, with all beyond in the last; copies of a slot that are sorted in one task.
+HORIZON, SORTED = 4.0, 20_000
 #: The table of sources is broadcast up to so many rows and joined by shuffling beyond.
 BROADCAST_SOURCES = 100_000
 
@@ -86,19 +91,25 @@ def finish(e: int | Column) -> Column:
 
 
 def cut_time(placed: DataFrame, max_repeat: int) -> float:
-    """The last finish time up to which all copies fit in the budget; the driver gets two rows."""
+    """The last finish time up to which all copies fit in the budget; the driver gets the sums of one round of slots at a time."""
     copies = placed.filter((F.col("size") > 0) & (F.col("target") > 0)).select("size", F.explode(F.array(*(finish(e) for e in range(max_repeat)))).alias("finish"))
-    copies = copies.withColumn("slot", F.least(F.floor(F.col("finish") * TIME_SLOTS), F.lit(4 * TIME_SLOTS)))
-    sums = copies.groupBy("slot").agg(F.sum("size").alias("slot_size"))
-    budget = placed.agg(F.sum("size")).first()[0] or 0
-    upto = sums.withColumn("upto", F.sum("slot_size").over(Window.orderBy("slot")))
-    first = upto.filter(F.col("upto") > budget).orderBy("slot").limit(1).first()
-    if first is None:
-        return float("inf")
-    left = budget - (first["upto"] - first["slot_size"])
-    in_slot = copies.filter(F.col("slot") == first["slot"]).withColumn("upto", F.sum("size").over(Window.orderBy("finish")))
-    last = in_slot.filter(F.col("upto") <= left).agg(F.max("finish")).first()[0]
-    return last if last is not None else first["slot"] / TIME_SLOTS - 1e-12
+    left, low, high, last = placed.agg(F.sum("size")).first()[0] or 0, 0.0, HORIZON, float("-inf")
+    while True:
+        slot = F.least(F.floor((F.col("finish") - low) * (TIME_SLOTS / (high - low))), F.lit(TIME_SLOTS - 1))
+        sums = sorted(copies.groupBy(slot.alias("slot")).agg(F.sum("size"), F.count("*"), F.min("finish"), F.max("finish")).collect())
+        for _, size, n, first, end in sums:
+            if size > left:
+                break
+            left, last = left - size, end
+        else:
+            return float("inf")
+        copies = copies.filter(F.col("finish").between(first, end))
+        if first == end:
+            return last
+        if n <= SORTED:
+            fits = copies.withColumn("upto", F.sum("size").over(Window.orderBy("finish"))).filter(F.col("upto") <= left).agg(F.max("finish")).first()[0]
+            return last if fits is None else fits
+        low, high = first, end
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), max_repeat: int = 3, seed: int = 0) -> DataFrame:
@@ -109,12 +120,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """
     decided = mix_table(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, max_repeat=max_repeat, seed=seed)
     most = decided.filter("size > 0").groupBy("source").agg(F.max(F.struct("copies", "shuffle_key")).alias("last"))
-    most = materialize(most.select(F.col("source").alias("_mix_source"), F.col("last.copies").alias("_mix_copies"), F.col("last.shuffle_key").alias("_mix_key")))
-    if most.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        most = F.broadcast(most)
-    rows = docs.join(most, docs[source_col].eqNullSafe(most["_mix_source"]))
-    rounds = F.when(shuffle_key(docs[id_col], seed) <= F.col("_mix_key"), F.col("_mix_copies")).otherwise(F.col("_mix_copies") - 1)
-    return rows.withColumn("copies", rounds).filter((F.col("copies") > 0) & (n_words(F.col(text_col)) > 0)).drop("_mix_source", "_mix_copies", "_mix_key")
+    most = materialize(most.select("source", F.col("last.copies").alias("most"), F.col("last.shuffle_key").alias("last_key")))
+    rows = docs.select(whole_row(docs), F.col(source_col).alias("source"), shuffle_key(F.col(id_col), seed).alias("key"), n_words(F.col(text_col)).alias("size"))
+    rounds = F.when(F.col("key") <= F.col("last_key"), F.col("most")).otherwise(F.col("most") - 1)
+    name = "copies"
+    while name in docs.columns:
+        name += "_"
+    return joined_by_source(rows, most).filter((rounds > 0) & (F.col("size") > 0)).select(*columns_of(docs), rounds.alias(name))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
