@@ -6,12 +6,13 @@ filter of width w adds up one learnt number for each of its w symbols; the great
 each of the widths 2, 3 and 4, goes to a softmax over languages. A document's probabilities are its windows', weighed by
 length. For prediction, pairs of symbols are looked up at once.
 
-The network is trained on the driver on a bounded sample: at most ``per_lang`` documents of each language, chosen by a
-hash of the id, and of each at most ``windows_each`` windows taken anywhere in its text. Prediction covers all texts.
+The network is trained on the driver on a bounded sample: the ``most_langs`` (200) languages with the most documents, at most
+``per_lang`` documents of each, chosen by a hash of the id, and of each at most ``windows_each`` windows taken anywhere in its text;
+``most_windows`` (60,000) in all. Prediction covers all texts.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter; with no labelled text at all, every
-text is ``und``; rows are independent, so ties, repeated rows and other columns have no effect; a document of any length is
-taken in blocks of windows, so memory is bounded.
+text is ``und``; rows are independent, so ties, repeated rows and other columns (of any name) have no effect; a document of any length
+is taken in blocks of windows, so memory is bounded; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import table
+from seriesloom.llm.common import columns_of, table, whole_row
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 OVERLAP = max(WIDTHS) - 1
@@ -130,14 +131,15 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_lang: int = 1000, windows_each: int = 4) -> Network | None:
+def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_lang: int = 1000, windows_each: int = 4, most_langs: int = 200, most_windows: int = 60_000) -> Network | None:
     """A network learnt from the labelled rows of docs, or None if there are none."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
+    per_lang = max(1, min(per_lang, most_windows // windows_each // len(counts)))
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * per_lang / n))))
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) / 1_000_000
+    place = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,7 +150,7 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_lan
                     langs.append(lang), places.append(place), found.append(w[i].tobytes())
             yield pa.record_batch([pa.array(places, pa.float64()), pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["place", "lang", "w"])
 
-    some = rows.select(place.alias("place"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("place") <= share[F.col("lang")])
+    some = rows.select(place.alias("place"), "lang", "text").filter(F.col("place") <= share[F.col("lang")])
     ranked = some.mapInArrow(cut, "place double, lang string, w binary").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "w")))
     got = sorted((r["lang"], r["n"], bytes(r["w"])) for r in ranked.filter(F.col("n") <= per_lang * windows_each).collect())
     langs = sorted({x[0] for x in got})
@@ -158,11 +160,11 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_lan
 
 
 def identify(docs: DataFrame, net: Network | None, *, text_col: str = "text") -> DataFrame:
-    """docs without text_col, with lang_pred and score."""
-    others = [c for c in docs.columns if c != text_col]
+    """docs without text_col, with lang_pred and score in place of any columns of these names."""
+    others = docs.drop(text_col)
     if net is None:
-        return docs.select(*others, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    kept = docs.select(F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"), *others)
+        return others.drop("lang_pred", "score").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    kept = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), whole_row(others))
     tables, langs = net.tables(), net.langs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,10 +180,10 @@ def identify(docs: DataFrame, net: Network | None, *, text_col: str = "text") ->
                     total += size[at : at + 1024].astype(np.float64) @ net.predict(w[at : at + 1024], tables).astype(np.float64)
                 best = int(total.argmax())
                 pred.append(langs[best]), score.append(min(1.0, float(total[best] / total.sum())))
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[2:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
-    types = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[2:]), "lang_pred string", "score double"])
-    return kept.mapInArrow(run, types)
+    done = kept.mapInArrow(run, f"row {kept.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return done.select(*(c for c, name in zip(columns_of(others), others.columns, strict=True) if name not in ("lang_pred", "score")), "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -198,8 +200,7 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def identified_only(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that have a language (whose text isn't ``und``), with all their columns."""
     net = train(docs.filter(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    kept = docs.withColumns({"_read": F.col(text_col)})
-    return identify(kept, net, text_col="_read").filter("lang_pred != 'und'").select(*docs.columns)
+    return identify(docs.select(whole_row(docs), F.col(text_col).alias("text")), net).filter("lang_pred != 'und'").select(*columns_of(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
