@@ -14,7 +14,8 @@ with the cell's queries. A task returns its ten best for a query, so what is shu
 
 Defined results: rows with a null id, and vectors that are null, empty, zero, or hold null or non-finite components, or have
 another length than most, take no part; ties go to the smaller id; of rows with equal ids the nearest counts, and none is a
-neighbour of its own id; with fewer vectors than k, all of them; an empty table gives an empty result.
+neighbour of its own id; with fewer vectors than k, all of them; an empty table gives an empty result; other columns, of any
+name, are ignored (:func:`usable` takes the two it needs).
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import materialize, partitions, table
+from seriesloom.llm.common import materialize, partitions, sampled, table
 
 SAMPLE, CHUNK = 20_000, 4096
 #: What deals cells and chunks to tasks.
 SPREAD, SPREAD_CHUNK = 1_000_003, 40_503
-#: Centroids of a half: at most; vectors of a cell, aimed at. The first pass sees REACH times the square root of the vectors.
-MOST_CENTROIDS, CELL, REACH = 256, 1, 100
+#: Centroids of a half: as many as give CELL vectors to a cell, up to the first bound; beyond, a sixteenth of the root of the number of
+#: vectors, up to the second (so the driver's table of cells has a million rows at most). The first pass sees REACH times that root.
+CENTROIDS, MOST_CENTROIDS, CELL, REACH = 256, 1024, 1, 100
 #: Distances compared at once in the second pass; what rounding may add to a squared distance, for each unit of squared length.
 TILE, ROUNDING = 2_000_000, 1e-9
 
@@ -131,16 +133,21 @@ def least_squared(query: np.ndarray, books: list[np.ndarray], at: tuple[np.ndarr
     return bound
 
 
+def centroids(total: int) -> int:
+    """Centroids of each half for so many vectors."""
+    return int(min(MOST_CENTROIDS, max(min(CENTROIDS, max(2, round((total / CELL) ** 0.5))), total**0.5 // 16)))
+
+
 def search(rows: DataFrame, queries: DataFrame, *, k: int = 10, reach: float = REACH) -> DataFrame:
     """For each of queries (vec_id, vec) its k nearest among rows (vec_id, vec): query_id, rank, vec_id, score."""
     spark, result = rows.sparkSession, "query_id long, rank int, vec_id long, score double"
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").collect()
+    total = rows.count()
+    sample = sampled(rows, F.col("vec_id"), SAMPLE, total).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").collect()
     if not sample:
         return spark.createDataFrame([], result)
     x = np.array([r[0] for r in sample])
     half = x.shape[1] // 2
-    total = rows.count()
-    size = int(min(MOST_CENTROIDS, max(2, round((total / CELL) ** 0.5))))
+    size = centroids(total)
     books = [k_means(part, size) for part in ((x[:, :half], x[:, half:]) if half else (np.zeros((len(x), 1)), x))]
     halves = lambda m: (m[:, :half], m[:, half:]) if half else (np.zeros((len(m), 1)), m)
 
@@ -176,8 +183,13 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 10, reach: float = R
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.array(keys, pa.list_(pa.int64()))], names=["part", "query_id", "vec", "keys"])
 
-    chunks = F.create_map(*(F.lit(int(v)) for c in np.flatnonzero(sizes > CHUNK) for v in (c, -(-sizes.flat[c] // CHUNK)))) if (sizes > CHUNK).any() else None
-    chunk = F.pmod(F.xxhash64("vec_id"), F.coalesce(chunks[F.col("cell")], F.lit(1))) if chunks is not None else F.lit(0)
+    large = np.flatnonzero(sizes > CHUNK)
+    if len(large):  # a row for each large cell, broadcast: no more than there are cells
+        chunks = spark.createDataFrame([(int(c), int(-(-sizes.flat[c] // CHUNK))) for c in large], "large long, chunks long")
+        index = index.join(F.broadcast(chunks), F.col("cell") == F.col("large"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).drop("large")
+        chunk = F.pmod(F.xxhash64("vec_id"), F.col("chunks"))
+    else:
+        chunk = F.lit(0)
     key = F.shiftleft(F.col("cell"), 32) + F.col("chunk")
     part = F.pmod(F.col("cell") * SPREAD + F.col("chunk") * SPREAD_CHUNK, F.lit(parts)).cast("long")
     stored = index.withColumn("chunk", chunk.cast("long")).select(part.alias("part"), key.alias("key"), "vec_id", "vec")
