@@ -8,7 +8,8 @@ differ for their size, the fewer. A document's log odds are its own, plus what i
 
 Defined results: a null text has no evidence (the global prior); null hosts and paths are sites of their own; with no labels
 every document has probability 0.5; repeated rows count as often as they stand; rows of labels for one id count once
-each; an empty table gives an empty result; other columns are ignored by :func:`scores`.
+each, with one text of that id; ids of any type; texts of any length; an empty table gives an empty result; other columns, of any name, are
+ignored by :func:`scores`.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import materialize, table
+from seriesloom.llm.common import materialize, sampled, table
 
 FEATURES, LABELLED, MEMO = 1 << 15, 6000, 500_000
 #: Tables of sites are broadcast up to so many rows.
@@ -100,10 +101,12 @@ def scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     """One row per document: doc_id, p_text, p_host, p_path, score, keep (score of half or more)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good"))
-    chosen = good.orderBy(F.xxhash64("_id"), "_id", "good").limit(LABELLED)
+    chosen = sampled(good, F.col("_id"), LABELLED, good.count()).orderBy(F.xxhash64("_id"), "_id", "good").limit(LABELLED)
     of, found = Features(), []
     if labels.take(1):
-        found = sorted(((r[0], r[1], bytes(r[2])) for r in rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "good", "text").mapInArrow(_indices, "doc_id long, good int, at binary").collect()))
+        labelled = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "good", "text")
+        seen = labelled.mapInArrow(_indices, f"doc_id {labelled.schema['doc_id'].dataType.simpleString()}, good int, at binary")
+        found = sorted((r[0], r[1], bytes(r[2])) for r in seen.groupBy("doc_id", "good").agg(F.min("at")).collect())
     model = fit([np.frombuffer(f[2], np.int64) for f in found], np.array([f[1] for f in found], float)) if found else None
     each = materialize(evidence(rows, model))
     paths = materialize(each.groupBy("host", "path").agg(F.count("p").alias("n"), F.coalesce(F.sum("p"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("p") * F.col("p")), F.lit(0.0)).alias("s2")))
