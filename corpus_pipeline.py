@@ -1,10 +1,17 @@
-"""The corpus pipeline: what is kept of ``documents``, stage by stage."""
+"""The corpus pipeline: what is kept of ``documents``, stage by stage.
+
+Defined results, in all stages: a null text has no language and goes at the first; nulls in other columns change nothing (a null
+source is a source, a null id comes last); texts are taken whole, whatever their length; of repeated rows and near copies one row
+stays, that of the smallest id; an empty table stays empty; other columns, of any name, are kept (the mix's own becomes ``copies_`` beside one
+named ``copies``).
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seriesloom.llm import decontaminate, langid, mixing, simhash, suffixdedup
 from seriesloom.llm.common import ensure_checkpoint_dir, table
@@ -22,9 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without bytes that repeat strings of an earlier document; n_chars is counted anew."""
-    from pyspark.sql import functions as F
-
-    return suffixdedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = suffixdedup.deduplicated(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else kept
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,4 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{n}")
         docs = spark.read.parquet(f"{at}/{n}")
+        suffixdedup.release(spark)
+        if n:  # what the stage before wrote has been read for the last time
+            before = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/{n - 1}")
+            before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
     return docs
