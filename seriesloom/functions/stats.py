@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def kpss(df: DataFrame, *, trend: bool = False, short: bool = True, lag: int | N
     rows = e.withColumn("s", F.sum("e").over(ordered()))
     sums = rows.groupBy(KEY).agg(F.count("*").alias("n"), F.sum(F.col("e") ** 2).alias("c0"), F.sum(F.col("s") ** 2).alias("walk"), _in_order("e").alias("es"))
     n = F.col("n")
-    spread = F.col("c0") / n + _lagged("es", n, F.lit(lag) if lag else lag_length(n, short))
+    spread = F.col("c0") / n + _lagged("es", n, F.lit(lag) if lag is not None else lag_length(n, short))
     stat = F.col("walk") / (n * n) / F.col("spread")
     table = list(zip(KPSS_TREND if trend else KPSS_LEVEL, KPSS_P, strict=True))
     return sums.withColumn("spread", spread).withColumn("stat", stat).select(KEY, "n", "stat", interpolated(F.col("stat"), table).alias("p")).withColumn("diff", F.col("p") < alpha)
@@ -219,19 +221,17 @@ def outlier_regressor(df: DataFrame, kind: str, at: int, delta: float = 0.7) ->
 
 
 def css_residuals(df: DataFrame, phi: list[float], theta: list[float]) -> DataFrame:
-    """(series_id, t, e): the residuals of given coefficients by one fold over each series, earlier ones 0."""
-    from seriesloom.operators.series import pack
+    """(series_id, t, e): the residuals of given coefficients, t counted from 0, earlier ones 0; time in proportion to a series."""
+    from seriesloom.kernels import arma
+    from seriesloom.plans.models import per_place
 
-    p, q, arrays = len(phi), len(theta), pack(df)
-    y = F.col("ys")
+    p, q = len(phi), len(theta)
 
-    def step(e: Column, t: Column) -> Column:
-        ar = sum((F.lit(c) * F.get(y, t - i - 1) for i, c in enumerate(phi)), F.lit(0.0))
-        ma = sum((F.lit(c) * F.get(e, t - i - 1) for i, c in enumerate(theta)), F.lit(0.0))
-        return F.concat(e, F.array(F.when(t < max(p, q), 0.0).otherwise(F.get(y, t) - ar - ma)))
+    def run(y: np.ndarray) -> list[np.ndarray]:
+        rows = lambda c: np.tile(np.array(c, float), (len(y), 1)).reshape(len(y), len(c))
+        return [arma.css_residuals(y, rows(phi), rows(theta), np.full(len(y), max(p, q)))]
 
-    e = F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), F.array().cast("array<double>"), step)
-    return arrays.select(KEY, F.posexplode(e).alias(T, "e"))
+    return per_place(df, run, ["e"])
 
 
 def psi_weights(phi: list[float], theta: list[float], h: int, d: int = 0, seasonal_d: int = 0, m: int = 1) -> list[float]:
@@ -276,3 +276,39 @@ def box_cox_lambda(df: DataFrame, *, low: int = -200, high: int = 200, shift: fl
     fit = base.select(KEY, "k", z.alias("z"), F.ln("x").alias("l")).groupBy(KEY, "k").agg(F.count("*").alias("n"), F.var_pop("z").alias("v"), F.sum("l").alias("l"))
     value = F.when(F.col("v") > 0, -F.col("n") / 2.0 * F.ln("v") + (lam - 1) * F.col("l"))
     return fit.groupBy(KEY).agg((F.max_by("k", value) / 100.0).alias("lam"))
+
+
+def box_cox_power(df: DataFrame, *, low: float = -2.0, high: float = 2.0, shift: float = 0.0, tol: float = 1e-7, floor: str = "drop") -> DataFrame:
+    """(series_id, lam): the profile likelihood's best power between low and high, to tol, by a golden section.
+
+    Values whose sum with shift isn't positive have no likelihood: with floor "drop" they don't count, with "raise" they are an error.
+    A series with fewer than two different values has a null power.
+    """
+    from seriesloom.kernels import power
+    from seriesloom.plans.models import per_batch
+
+    if floor not in ("drop", "raise"):
+        raise ValueError(f"no such floor: {floor}")
+    if floor == "raise" and df.filter(F.col(Y) + shift <= 0).limit(1).count():
+        raise ValueError("values are not positive")
+    return per_batch(df.filter(F.col(Y) + shift > 0), lambda y: power.best(y + shift, low, high, tol)[:, None], ["lam"])
+
+
+def normal_quantile(p: float) -> float:
+    from statistics import NormalDist
+
+    return NormalDist().inv_cdf(p)
+
+
+def cv_summary(scores: DataFrame, metric: str = "smape") -> DataFrame:
+    """(series_id, mean, std) of a metric over folds; std is 0 for a single fold."""
+    return scores.groupBy(KEY).agg(F.avg(metric).alias("mean"), F.coalesce(F.stddev_samp(metric), F.lit(0.0)).alias("std"))
+
+
+def out_of_fold(df: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(series_id, t, pred) for all places of df: that of the last fold which predicted it, null where none did.
+
+    predictions: (series_id, fold, t, pred).
+    """
+    last = predictions.groupBy(KEY, T).agg(F.max_by("pred", "fold").alias("pred"))
+    return df.select(KEY, T).join(last, [KEY, T], "left")

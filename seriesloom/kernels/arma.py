@@ -6,6 +6,7 @@ Rows never meet (no sum crosses the first axis), so a result doesn't depend on w
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
@@ -59,8 +60,34 @@ def css(w: np.ndarray, phi: np.ndarray, theta: np.ndarray, lost: np.ndarray | No
     return 0.5 * n * np.log(s), s
 
 
+@lru_cache(maxsize=16)
+def yule_walker(r: int) -> np.ndarray:
+    """[r, (r + 1)²]: where autocovariance l stands in the equation of lag k with coefficient i."""
+    i, k, lag = np.ogrid[1 : r + 1, : r + 1, : r + 1]
+    return (np.abs(k - i) == lag).astype(float).reshape(r, -1)
+
+
 def first_column(phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """The first column of the stationary covariance, as a sum over powers of the companion map."""
+    """The first column of the stationary covariance of the state [B, r], from phi [B, r] and theta [B, r - 1].
+
+    The autocovariances solve a linear system a row; where one has no solution, as a sum over powers of the companion map.
+    """
+    n, r = phi.shape
+    if not phi.any():
+        return powers_column(phi, theta)
+    psi, moving = np.zeros((n, r)), np.concatenate([np.ones((n, 1)), theta], 1)
+    for k in range(r):
+        psi[:, k] = moving[:, k] + (phi[:, :k] * psi[:, :k][:, ::-1]).sum(1)
+    shocks = np.stack([(moving[:, k:] * psi[:, : r - k]).sum(1) for k in range(r)] + [np.zeros(n)], 1)
+    system = np.eye(r + 1) - (phi @ yule_walker(r)).reshape(n, r + 1, r + 1)
+    try:
+        gamma = np.linalg.solve(system, shocks[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        return powers_column(phi, theta)
+    return np.stack([gamma[:, 0], *((phi[:, i:] * gamma[:, 1 : r - i + 1]).sum(1) + shocks[:, i] for i in range(1, r))], 1)
+
+
+def powers_column(phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
     r = phi.shape[1]
     v = np.concatenate([np.ones((len(phi), 1)), theta], 1)
     out, calm = np.zeros_like(v), 0

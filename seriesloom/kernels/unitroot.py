@@ -85,6 +85,52 @@ def pp(y: np.ndarray, trend: bool = False, short: bool = True) -> tuple[float, f
     return float(stat), dickey_fuller_p(float(stat), n, trend)
 
 
+def levels_of(stat: np.ndarray, n: int, trend: bool) -> np.ndarray:
+    """Levels of the statistics of many series of one length."""
+    table = np.array(TREND if trend else DRIFT)
+    return np.interp(stat, [np.interp(n, SIZES, column) for column in table.T], LEVELS)
+
+
+def regress_batch(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As regress, for [B, T, k] and [B, T]."""
+    from seriesloom.kernels.seasonal import ols
+
+    beta, e, inverse = ols(x, y)
+    spread = np.diagonal(inverse, axis1=1, axis2=2) * (e * e).sum(1, keepdims=True) / max(y.shape[1] - x.shape[2], 1)
+    return beta, np.sqrt(np.maximum(spread, 0)), e
+
+
+def adf_batch(y: np.ndarray, lags: int | None = None, trend: bool = False) -> np.ndarray:
+    """[B, 2]: as adf, for series of one length."""
+    k = int((y.shape[1] - 1) ** (1 / 3)) if lags is None else lags
+    d = np.diff(y)
+    rows = np.arange(k, d.shape[1])
+    if len(rows) < k + 3 + trend:
+        return np.full((len(y), 2), np.nan)
+    ones = np.ones((len(y), len(rows)))
+    x = [ones, y[:, rows], *([ones * (rows + 1.0)] if trend else []), *(d[:, rows - j] for j in range(1, k + 1))]
+    beta, error, _ = regress_batch(np.stack(x, 2), d[:, rows])
+    with np.errstate(all="ignore"):
+        stat = beta[:, 1] / error[:, 1]
+    return np.stack([stat, levels_of(stat, d.shape[1], trend)], 1)
+
+
+def pp_batch(y: np.ndarray, trend: bool = False, short: bool = True) -> np.ndarray:
+    """[B, 2]: as pp, for series of one length."""
+    now, before = y[:, 1:], y[:, :-1]
+    n = now.shape[1]
+    if n < 4:
+        return np.full((len(y), 2), np.nan)
+    ones = np.ones_like(now)
+    beta, error, e = regress_batch(np.stack([ones, *([ones * (np.arange(1, n + 1) - n / 2)] if trend else []), before], 2), now)
+    lags = int((4 if short else 12) * (n / 100) ** 0.25)
+    inner = (e * e).sum(1) / n
+    outer = inner + sum((2 / n * (1 - k / (lags + 1)) * (e[:, k:] * e[:, :-k]).sum(1) for k in range(1, lags + 1)), np.zeros(len(y)))
+    with np.errstate(all="ignore"):
+        stat = np.sqrt(inner / outer) * (beta[:, -1] - 1) / error[:, -1] - (outer - inner) * math.sqrt(n) * error[:, -1] / (2 * np.sqrt(outer * inner))
+    return np.stack([stat, levels_of(stat, n, trend)], 1)
+
+
 def pp_alpha(y: np.ndarray, short: bool = True) -> tuple[float, float]:
     """Statistic and level of the Phillips-Perron test in its coefficient form, with a trend."""
     now, before = y[1:], y[:-1]

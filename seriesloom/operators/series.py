@@ -44,21 +44,23 @@ def diff(df: DataFrame, lag: int = 1, times: int = 1, column: str | list[str] =
     return df.withColumn("_n", F.row_number().over(ordered())).filter(F.col("_n") > lag * times).drop("_n")
 
 
-def inverse_diff(df: DataFrame, lag: int = 1, times: int = 1, start: float = 0.0, heads: DataFrame | None = None) -> DataFrame:
-    """The series whose differences are y; its first lag * times values are start, t counts from the first of them.
+def inverse_diff(df: DataFrame, lag: int = 1, times: int = 1, start: float = 0.0, heads: DataFrame | None = None, column: str | list[str] = Y) -> DataFrame:
+    """The series whose differences are y (or each of several columns); its first lag * times values are start, t counts from the first of them.
 
-    heads (series_id, t, y) gives those values instead, at the lag * times places before each series.
+    heads (series_id, t and the columns) gives those values instead, at the lag * times places before each series.
     """
+    columns = [column] if isinstance(column, str) else column
     for k in reversed(range(times)):
         if heads is None:
-            head = df.groupBy(KEY).agg(F.min(T).alias("_t")).select(KEY, F.explode(F.sequence(F.col("_t") - lag, F.col("_t") - 1)).alias(T), F.lit(start).alias(Y))
+            head = df.groupBy(KEY).agg(F.min(T).alias("_t")).select(KEY, F.explode(F.sequence(F.col("_t") - lag, F.col("_t") - 1)).alias(T), *(F.lit(start).alias(c) for c in columns))
         else:  # what k differences leave of the heads, its last lag values
-            known = diff(heads, lag, k) if k else heads
+            known = diff(heads, lag, k, columns) if k else heads
             place = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(T)))
             before = known.join(df.groupBy(KEY).agg(F.min(T).alias("_t")), KEY).filter(F.col(T) < F.col("_t"))
-            head = before.withColumn("_n", place).filter(F.col("_n") <= lag).select(KEY, T, Y)
-        both = head.unionByName(df.select(KEY, T, Y))
-        df = both.withColumn(Y, F.sum(Y).over(Window.partitionBy(KEY, F.pmod(F.col(T), F.lit(lag))).orderBy(T)))
+            head = before.withColumn("_n", place).filter(F.col("_n") <= lag).select(KEY, T, *columns)
+        both = head.unionByName(df.select(KEY, T, *columns))
+        along = Window.partitionBy(KEY, F.pmod(F.col(T), F.lit(lag))).orderBy(T)
+        df = both.withColumns({c: F.sum(c).over(along) for c in columns})
     return df
 
 
@@ -101,10 +103,21 @@ def pacf(df: DataFrame, lags: int) -> DataFrame:
 
 
 def interpolation_grid(points: DataFrame, x: str, y: str) -> DataFrame:
-    """(x, y, next_x, next_y): sorted, with one averaged y for each x."""
+    """(x, y, next_x, next_y): each x with one averaged y, and the next larger x and its y.
+
+    x is cut into ranges at quantiles; each range is sorted by a task of its own, and the first point of the next range, of a table with a
+    row for each range, follows its last.
+    """
     grid = points.groupBy(F.col(x).alias("x")).agg(F.avg(y).alias("y"))
-    w = Window.orderBy("x")
-    return grid.select("x", "y", F.lead("x").over(w).alias("next_x"), F.lead("y").over(w).alias("next_y"))
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(points.select(F.col(x).cast("double").alias("x")).approxQuantile("x", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("x"))) if cuts else F.lit(0)
+    ranges = grid.withColumn("_part", part)
+    firsts = ranges.groupBy("_part").agg(F.min(F.struct("x", "y")).alias("_first"))
+    firsts = firsts.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_after"))
+    w = Window.partitionBy("_part").orderBy("x")
+    after = F.coalesce(F.lead(F.struct("x", "y")).over(w), F.col("_after"))
+    return ranges.join(F.broadcast(firsts), "_part").withColumn("_after", after).select("x", "y", F.col("_after.x").alias("next_x"), F.col("_after.y").alias("next_y"))
 
 
 def interpolate(values: DataFrame, v: str, grid: list[tuple[float, float]], *, clip: bool = True, constant: bool = False) -> DataFrame:

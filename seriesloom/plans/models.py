@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.stats import candidate_grid, n_diffs
-from seriesloom.kernels import arma, auto, seasonal as tests, unitroot
+from seriesloom.functions.stats import n_diffs, normal_quantile
+from seriesloom.kernels import arma, auto, power as powers, seasonal as tests, unitroot
 from seriesloom.kernels.arma import Fitted
 from seriesloom.operators.series import KEY, pack
 
@@ -52,57 +52,91 @@ def _regressors(rows: pd.DataFrame, column: str = "xs") -> np.ndarray | None:
     return np.stack([np.stack(x) for x in rows[column]]).astype(float) if column in rows else None
 
 
-def fit(df: DataFrame, order: Order, seasonal: Seasonal = NONE, *, exog: list[str] | None = None, mean: bool | None = None, method: str = "css-ml", init: str = "flat", polish: bool = False) -> DataFrame:
-    """One model row for each series; exog names columns of regressors with ARMA errors; init and polish as in :class:`Fitted`."""
+def fit(df: DataFrame, order: Order, seasonal: Seasonal = NONE, *, exog: list[str] | None = None, mean: bool | None = None, method: str = "css-ml", init: str = "flat", polish: bool = False, power: float | None = None, shift: float = 0.0, drift: bool = False) -> DataFrame:
+    """One model row for each series; exog names columns of regressors with ARMA errors; init and polish as in :class:`Fitted`.
+
+    power is a Box-Cox power that series are transformed by before; drift adds a constant to a series differenced once, and
+    is an error for one differenced oftener, where a constant would be a trend of higher degree.
+    """
+    mean = _constant(order, seasonal, mean, drift)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _models(rows[KEY].to_numpy(), Fitted(_values(rows), order, seasonal, mean, exog=_regressors(rows), method=method, init=init, polish=polish))
+        return _models(rows[KEY].to_numpy(), Fitted(_transformed(_values(rows), power, shift), order, seasonal, mean, exog=_regressors(rows), method=method, init=init, polish=polish))
 
     return _mapped(_packed(df, exog), run, MODEL)
 
 
+def _constant(order: Order, seasonal: Seasonal, mean: bool | None, drift: bool) -> bool | None:
+    if not drift:
+        return mean
+    if order[1] + seasonal[1] > 1:
+        raise ValueError("a drift needs a series that is differenced once at most")
+    return True
+
+
+def _transformed(y: np.ndarray, power: float | None, shift: float) -> np.ndarray:
+    if power is None:
+        return y
+    if (y + shift <= 0).any():
+        raise ValueError("Box-Cox powers need positive values; give a shift")
+    return powers.transform(y, power, shift)
+
+
 def _models(keys, model: Fitted) -> pd.DataFrame:
     (p, d, q), (sp, sd, sq, m) = model.order, model.seasonal
     return pd.DataFrame({KEY: keys, "p": p, "d": d, "q": q, "sp": sp, "sd": sd, "sq": sq, "m": m, "phi": list(model.phi), "theta": list(model.theta), "mean": model.mean, "beta": list(model.coef[:, model.with_mean :]), "sigma2": model.sigma2, "log_l": model.log_l, "nobs": model.n, "aic": model.aic, "aicc": model.aicc, "bic": model.bic})
 
 
-def _forecasts(keys, bands: tuple[np.ndarray, ...]) -> pd.DataFrame:
+def _forecasts(keys, bands: tuple[np.ndarray, ...], names: tuple[str, ...] = ("forecast", "lower", "upper")) -> pd.DataFrame:
     h = bands[0].shape[1]
-    return pd.DataFrame({KEY: np.repeat(keys, h), "h": np.tile(np.arange(1, h + 1), len(keys)), **{c: x.ravel() for c, x in zip(("forecast", "lower", "upper"), bands, strict=True)}})
+    return pd.DataFrame({KEY: np.repeat(keys, h), "h": np.tile(np.arange(1, h + 1), len(keys)), **{c: x.ravel() for c, x in zip(names, bands, strict=True)}})
+
 
+def forecast(df: DataFrame, order: Order, seasonal: Seasonal = NONE, h: int = 12, *, exog: list[str] | None = None, future: DataFrame | None = None, mean: bool | None = None, level: float = 0.95, std_error: bool = False, power: float | None = None, shift: float = 0.0, drift: bool = False) -> DataFrame:
+    """(series_id, h, forecast, lower, upper). With exog, future has (series_id, t, exog) for the h places after each series.
 
-def forecast(df: DataFrame, order: Order, seasonal: Seasonal = NONE, h: int = 12, *, exog: list[str] | None = None, future: DataFrame | None = None, mean: bool | None = None) -> DataFrame:
-    """(series_id, h, forecast, lower, upper). With exog, future has (series_id, t, exog) for the h places after each series."""
+    level is that of the interval; std_error adds the forecast's error, on the scale of the model; power, shift and drift are as
+    for :func:`fit`, and what is forecast is on the series' own scale (its median, with a power).
+    """
+    mean, z = _constant(order, seasonal, mean, drift), normal_quantile(0.5 + level / 2)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model = Fitted(_values(rows), order, seasonal, mean, exog=_regressors(rows))
-        return _forecasts(rows[KEY].to_numpy(), model.forecast(h, future=_regressors(rows, "ahead")))
+        model = Fitted(_transformed(_values(rows), power, shift), order, seasonal, mean, exog=_regressors(rows))
+        bands = model.forecast(h, z, _regressors(rows, "ahead"))
+        error = (bands[2] - bands[0]) / z
+        if power is not None:
+            bands = tuple(powers.inverse(x, power, shift) for x in bands)
+        return _forecasts(rows[KEY].to_numpy(), (*bands, error)[: 4 if std_error else 3], ("forecast", "lower", "upper", "std_error")[: 4 if std_error else 3])
 
     packed = _packed(df, exog)
     if exog:
         ahead = pack(future.withColumn("y", F.lit(0.0)), exog).select(KEY, F.slice("xs", 1, h).alias("ahead"))
         packed = packed.join(ahead, KEY)
-    return _mapped(packed, run, FORECAST)
+    return _mapped(packed, run, f"{FORECAST}, std_error double" if std_error else FORECAST)
 
 
 def search(df: DataFrame, *, most_p: int = 3, most_q: int = 3, most_order: int = 5, criterion: str = "aicc") -> DataFrame:
     """The best model row of each series over all (p, q) in the box, differenced as the KPSS test says.
 
-    Candidates are rows: those of series of one length and one d are fitted together, whatever their orders.
+    Candidates are made inside the task that has the series: all of series of one length and one d are fitted together,
+    whatever their orders, and only the best of each is returned, as it was fitted.
     """
-    grid = candidate_grid(df.sparkSession, most_p, most_q, 0, 0, most_order)
-    ready = _packed(df).join(n_diffs(df), KEY).join(F.broadcast(grid.select("p", "q")))
+    grid = [(p, q, 0, 0) for p in range(most_p + 1) for q in range(most_q + 1) if p + q <= most_order]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = [(int(p), int(q), 0, 0) for p, q in zip(rows["p"], rows["q"], strict=True)]
+    def some_of(rows: pd.DataFrame) -> pd.DataFrame:
+        own = grid * len(rows)
         (p, q, _, _), free = arma.free_of(own)
-        out = _models(rows[KEY].to_numpy(), Fitted(_values(rows), (p, int(rows["d"].iloc[0]), q), free=free))
+        out = _models(np.repeat(rows[KEY].to_numpy(), len(grid)), Fitted(np.repeat(_values(rows), len(grid), 0), (p, int(rows["d"].iloc[0]), q), free=free))
         out["phi"], out["theta"] = [x[: c[0]] for x, c in zip(out["phi"], own, strict=True)], [x[: c[1]] for x, c in zip(out["theta"], own, strict=True)]
-        return out.assign(p=[c[0] for c in own], q=[c[1] for c in own])
+        out = out.assign(p=[c[0] for c in own], q=[c[1] for c in own])
+        value = np.nan_to_num(out[criterion].to_numpy().reshape(len(rows), len(grid)), nan=np.inf)
+        return out.iloc[np.arange(len(rows)) * len(grid) + value.argmin(1)]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        step = max(1, auto.TOGETHER // len(grid))
+        return pd.concat([some_of(rows.iloc[at : at + step]) for at in range(0, len(rows), step)])
 
-    fitted = _mapped(ready, run, MODEL, ("n", "d"))
-    best = F.min_by(F.struct(*[c for c in fitted.columns if c != KEY]), F.struct(criterion, "p", "q"))
-    return fitted.groupBy(KEY).agg(best.alias("x")).select(KEY, "x.*")
+    return _mapped(_packed(df).join(n_diffs(df), KEY), run, MODEL, ("n", "d"))
 
 
 def _chosen(rows: pd.DataFrame, options: auto.Options) -> list[tuple[np.ndarray, auto.Found]]:
@@ -115,20 +149,35 @@ def _chosen(rows: pd.DataFrame, options: auto.Options) -> list[tuple[np.ndarray,
     return [(np.array(at), found[at[0]]) for at in groups.values()]
 
 
-def auto_arima(df: DataFrame, options: auto.Options = auto.Options(), *, exog: list[str] | None = None) -> DataFrame:
-    """One model row for each series, its orders found by a stepwise or full search. Series without any model are left out.
+def auto_arima(df: DataFrame, options: auto.Options = auto.Options(), *, exog: list[str] | None = None, failed: str = "drop") -> DataFrame:
+    """One model row for each series, its orders found by a stepwise or full search.
+
+    Series without any model are left out; with failed "keep" they have rows of nulls, and a column error says why.
 
     A search is a map over series: steps of one series don't wait for others' and no table is made for each step.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for at, f in _chosen(rows, options):
+        parts, why = [], "no candidate could be fitted"
+        try:
+            chosen = _chosen(rows, options)
+        except ValueError as x:
+            if failed != "keep":
+                raise
+            chosen, why = [], str(x)
+        for at, f in chosen:
             some = rows.iloc[at]
             parts.append(_models(some[KEY].to_numpy(), Fitted(_values(some), f.order, f.seasonal, f.constant, exog=_regressors(some))))
-        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in MODEL.split(", ")})
+        out = pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in MODEL.split(", ")})
+        if failed == "keep":
+            rest = rows.loc[~rows[KEY].isin(out[KEY]), KEY]
+            out = pd.concat([out.assign(error=None), pd.DataFrame({KEY: rest, "error": why})]).astype(object)
+            out = out.where(out.notna(), None)
+        return out
 
-    return _mapped(_packed(df, exog), run, MODEL)
+    if failed not in ("drop", "keep"):
+        raise ValueError(f"no such policy: {failed}")
+    return _mapped(_packed(df, exog), run, f"{MODEL}, error string" if failed == "keep" else MODEL)
 
 
 def search_trace(df: DataFrame, options: auto.Options = auto.Options()) -> DataFrame:
@@ -304,14 +353,28 @@ def per_batch(df: DataFrame, function: Callable, columns: list[str], least: int
     return out.select(KEY, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns))
 
 
+def per_place(df: DataFrame, function: Callable, columns: list[str]) -> DataFrame:
+    """(series_id, t, columns), t counted from 0: function([B, n]) gives [B, n] for each column, for series of one length."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = function(_values(rows))
+        n = found[0].shape[1]
+        return pd.DataFrame({KEY: np.repeat(rows[KEY].to_numpy(), n), "t": np.tile(np.arange(n), len(rows)), **{c: x.ravel() for c, x in zip(columns, found, strict=True)}})
+
+    return _mapped(_packed(df), run, ", ".join([f"{KEY} string", "t int", *(f"{c} double" for c in columns)]))
+
+
 def adf(df: DataFrame, *, lags: int | None = None, trend: bool = False, alpha: float = 0.05) -> DataFrame:
-    return per_series(df, lambda y: unitroot.adf(y, lags, trend), ["stat", "p"]).withColumn("diff", F.col("p") > alpha)
+    return per_batch(df, lambda y: unitroot.adf_batch(y, lags, trend), ["stat", "p"]).withColumn("diff", F.col("p") > alpha)
 
 
 def pp(df: DataFrame, *, trend: bool = False, short: bool = True, coefficient: bool = False, alpha: float = 0.05) -> DataFrame:
     """The test in its t form, or in its coefficient form (which has a trend)."""
-    test = (lambda y: unitroot.pp_alpha(y, short)) if coefficient else lambda y: unitroot.pp(y, trend, short)
-    return per_series(df, test, ["stat", "p"]).withColumn("diff", F.col("p") > alpha)
+    if coefficient:
+        found = per_series(df, lambda y: unitroot.pp_alpha(y, short), ["stat", "p"])
+    else:
+        found = per_batch(df, lambda y: unitroot.pp_batch(y, trend, short), ["stat", "p"])
+    return found.withColumn("diff", F.col("p") > alpha)
 
 
 def exact_likelihood(df: DataFrame, phi: list[float], theta: list[float]) -> DataFrame:

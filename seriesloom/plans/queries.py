@@ -191,7 +191,7 @@ def m4(spark, d):
 
 @register("m5_cv_summary", f"{NAIVE} SELECT series_id, {r('avg(smape) AS mean', 'coalesce(stddev_samp(smape), 0) AS std')} FROM sc GROUP BY 1")
 def m5(spark, d):
-    return rounded(_fold_scores(spark, d).groupBy("series_id").agg(F.avg("smape").alias("mean"), F.coalesce(F.stddev_samp("smape"), F.lit(0.0)).alias("std")))
+    return rounded(stats.cv_summary(_fold_scores(spark, d)))
 
 
 @register("m6_out_of_fold", f"WITH {S}, n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), f AS (SELECT series_id, unnest(generate_series(24, n - 6, 3)) AS hi FROM n), c AS (SELECT DISTINCT f.series_id, g.i AS t FROM f, LATERAL (SELECT unnest(generate_series(hi, hi + 5)) AS i) g) SELECT s.series_id, s.t, {r('CASE WHEN c.t IS NOT NULL THEN l.y END AS pred')} FROM s LEFT JOIN c ON c.series_id = s.series_id AND c.t = s.t LEFT JOIN s l ON l.series_id = s.series_id AND l.t = s.t - 12")
@@ -199,8 +199,7 @@ def m6(spark, d):
     s = sources.monthly_revenue(spark, d)
     rows = series.fold_rows(s, series.rolling_folds(_sizes(spark, d), horizon=6, step=3, initial=24)).filter("role = 'test'")
     before = s.select("series_id", (F.col("t") + 12).alias("t"), F.col("y").alias("p"))
-    pred = rows.join(before, ["series_id", "t"]).groupBy("series_id", "t").agg(F.max_by("p", "fold").alias("pred"))
-    return rounded(s.select("series_id", "t").join(pred, ["series_id", "t"], "left"))
+    return rounded(stats.out_of_fold(s, rows.join(before, ["series_id", "t"]).withColumnRenamed("p", "pred")))
 
 
 @register("metrics_snaive", f"WITH {S}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n, lag(y, 12) OVER (PARTITION BY series_id ORDER BY t) AS p FROM s), h AS (SELECT * FROM n WHERE t >= n - 12), sc AS (SELECT series_id, avg(abs(y - p)) AS scale FROM n WHERE t < n - 12 GROUP BY 1), m AS (SELECT series_id, avg(CASE WHEN abs(y) + abs(p) = 0 THEN 0 ELSE 200 * abs(p - y) / (abs(y) + abs(p)) END) AS smape, avg(abs(p - y)) AS mae, avg((p - y) ** 2) AS mse FROM h GROUP BY 1) SELECT series_id, {r('smape AS smape', 'mae AS mae', 'mse AS mse', 'sqrt(mse) AS rmse', 'mae / scale AS mase')} FROM m JOIN sc USING (series_id)")
@@ -411,3 +410,41 @@ _model("t3_pp_stat", f"""WITH {S}, l AS (SELECT series_id, t, y, lag(y) OVER (PA
 _model("g5_arch_lm_many", f"WITH {S}, q AS (SELECT series_id, y * y AS a, lag(y * y) OVER w AS b, lag(y * y, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)), k AS (SELECT series_id, count(*) AS n, corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM q WHERE c IS NOT NULL GROUP BY 1), l AS (SELECT series_id, n * (ab * ab + ac * ac - 2 * ab * ac * bc) / (1 - bc * bc) AS lm FROM k) SELECT series_id, {r('lm AS lm', 'exp(-lm / 2) AS p')} FROM l")(lambda m, s: rounded(m.arch_lm(s, 2)))
 _model("d2_stl")(lambda m, s: m.stl(s, 12))
 _model("d2_stl_rebuilt", f"WITH {S} SELECT series_id, t, {r('y AS y')} FROM s")(lambda m, s: rounded(m.stl(s, 12).select("series_id", "t", (F.col("trend") + F.col("seasonal") + F.col("remainder")).alias("y"))))
+
+
+# Models whose results have a closed form: what runs is the same kernel, plan and shuffle as for any other order.
+WALK = f"WITH {S}, g AS (SELECT series_id, t, y, y - lag(y) OVER (PARTITION BY series_id ORDER BY t) AS d FROM s), w AS (SELECT series_id, max_by(y, t) AS last, avg(d * d) AS v, avg(d) AS drift, var_pop(d) AS dv, count(d) AS n FROM g GROUP BY 1)"
+WALK_FIT = WALK + ", l AS (SELECT *, -0.5 * n * (ln(2 * pi() * v) + 1) AS ll FROM w) SELECT series_id, n::INT AS nobs, " + r("v AS sigma2", "ll AS log_l", "2 - 2 * ll AS aic", "2 - 2 * ll + 4.0 / (n - 2) AS aicc", "ln(n) - 2 * ll AS bic") + " FROM l"
+_FIT = ("series_id", "nobs", "sigma2", "log_l", "aic", "aicc", "bic")
+_model("f2_fit_random_walk", WALK_FIT)(lambda m, s: rounded(m.fit(s, (0, 1, 0)).select(*_FIT)))
+_model("f10_update_random_walk", WALK_FIT)(lambda m, s: rounded(m.update(s.filter("t < 67"), s.filter("t >= 67"), (0, 1, 0)).select(*_FIT)))
+_model("f6_fitted_random_walk", WALK + f" SELECT series_id, t, {r('y - d AS fitted', 'd AS resid')} FROM g WHERE d IS NOT NULL")(lambda m, s: rounded(m.residuals(s, (0, 1, 0))))
+_model("f7_forecast_level_and_error", WALK + f" SELECT series_id, h::INT AS h, {r('last AS forecast', 'last - 1.2815515655446008 * sqrt(v * h) AS lower', 'last + 1.2815515655446008 * sqrt(v * h) AS upper', 'sqrt(v * h) AS std_error')} FROM w, generate_series(1, 6) x(h)")(lambda m, s: rounded(m.forecast(s, (0, 1, 0), h=6, level=0.8, std_error=True)))
+_model("f4_drift_fit", WALK + " SELECT series_id, round(drift, 4) + 0.0 AS mean, round(dv, 4) + 0.0 AS sigma2 FROM w")(lambda m, s: rounded(m.fit(s, (0, 1, 0), drift=True).select("series_id", "mean", "sigma2"), 4))
+_model("f13_drift_forecast", WALK + " SELECT series_id, h::INT AS h, round(last + h * drift, 4) + 0.0 AS forecast FROM w, generate_series(1, 6) x(h)")(lambda m, s: rounded(m.forecast(s, (0, 1, 0), h=6, drift=True).select("series_id", "h", "forecast"), 4))
+_model("p1_box_cox_forecast", f"WITH {S}, g AS (SELECT series_id, t, y, 2 * (sqrt(y) - 1) AS z FROM s), k AS (SELECT *, z - lag(z) OVER (PARTITION BY series_id ORDER BY t) AS d FROM g), w AS (SELECT series_id, max_by(z, t) AS z, avg(d * d) AS v FROM k GROUP BY 1) SELECT series_id, h::INT AS h, {r('(z / 2 + 1) ** 2 AS forecast', '((z + 1.959963984540054 * sqrt(v * h)) / 2 + 1) ** 2 AS upper')} FROM w, generate_series(1, 6) x(h)")(lambda m, s: rounded(m.forecast(s, (0, 1, 0), h=6, power=0.5).select("series_id", "h", "forecast", "upper")))
+_model("m4_cv_scores_seasonal_walk", ORACLES["m4_cv_scores_naive"])(lambda m, s: rounded(m.cross_validate(s, series.rolling_folds(s.groupBy("series_id").agg(F.count("*").alias("n")), horizon=6, step=6, initial=24), (0, 0, 0), (0, 1, 0, 12), horizon=6)))
+_model("k7_diffuse_random_walk", WALK + ", l AS (SELECT *, -0.5 * n * (ln(2 * pi() * v) + 1) AS ll FROM w) SELECT series_id, " + r("ll AS log_l", "ll AS diffuse") + " FROM l")(lambda m, s: rounded(m.diffuse_likelihood(s, (0, 1, 0)).select("series_id", "log_l", "diffuse")))
+_model("k3_exact_ma1", f"WITH RECURSIVE {S}, a(series_id, t, e, v) AS (SELECT series_id, t, y, 1.16::DOUBLE FROM s WHERE t = 0 UNION ALL SELECT s.series_id, s.t, s.y - 0.4 * a.e / a.v, 1.16 - 0.16 / a.v FROM a JOIN s ON s.series_id = a.series_id AND s.t = a.t + 1), q AS (SELECT series_id, count(*) AS n, avg(e * e / v) AS s2, sum(ln(v)) AS lv FROM a GROUP BY 1) SELECT series_id, {r('-0.5 * n * (ln(2 * pi() * s2) + 1) - 0.5 * lv AS log_l', 's2 AS sigma2')} FROM q")(lambda m, s: rounded(m.exact_likelihood(s, [], [0.4])))
+_model("t2_adf_one_lag", f"WITH {S}, g AS (SELECT series_id, t, y - lag(y) OVER w AS d, lag(y) OVER w AS b, lag(y) OVER w - lag(y, 2) OVER w AS x FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)), f AS (SELECT * FROM g WHERE x IS NOT NULL), c AS (SELECT series_id, regr_slope(d, x) AS c1, regr_intercept(d, x) AS i1, regr_slope(b, x) AS c2, regr_intercept(b, x) AS i2 FROM f GROUP BY 1), p AS (SELECT series_id, d - i1 - c1 * x AS rd, b - i2 - c2 * x AS rb FROM f JOIN c USING (series_id)), k AS (SELECT series_id, sum(rd * rb) / sum(rb * rb) AS beta, sum(rb * rb) AS bb, count(*) AS n FROM p GROUP BY 1), e AS (SELECT p.series_id, sum((rd - beta * rb) ** 2) / (any_value(n) - 3) AS s2 FROM p JOIN k USING (series_id) GROUP BY 1) SELECT series_id, {r('beta / sqrt(s2 / bb) AS stat')} FROM k JOIN e USING (series_id)")(lambda m, s: rounded(m.adf(s, lags=1).select("series_id", "stat")))
+_model("t1_kpss_thirty_lags", f"WITH {S}{E}, c AS (SELECT a.series_id, k, sum(a.e * b.e) AS c FROM e a, generate_series(1, 30) x(k), e b WHERE b.series_id = a.series_id AND b.t = a.t - k GROUP BY 1, 2), n AS (SELECT series_id, count(*) AS n, sum(e * e) AS c0 FROM e GROUP BY 1), v AS (SELECT series_id, any_value(c0) / any_value(n) + sum(2.0 / n * (1 - k / 31.0) * c) AS v FROM n JOIN c USING (series_id) GROUP BY 1), p AS (SELECT series_id, sum(z * z) AS walk FROM (SELECT series_id, sum(e) OVER (PARTITION BY series_id ORDER BY t) AS z FROM e) GROUP BY 1) SELECT series_id, {r('walk / (n * n) / v AS stat')} FROM p JOIN n USING (series_id) JOIN v USING (series_id)")(lambda m, s: rounded(stats.kpss(s, lag=30).select("series_id", "stat")))
+_model("u4_inverse_diff_matrix", f"WITH {S} SELECT series_id, t, {r('y - first_value(y) OVER w AS y', 'y * t AS x')} FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)")(lambda m, s: rounded(series.inverse_diff(series.diff(s.withColumn("x", F.col("y") * F.col("t")), 1, 1, ["y", "x"]), column=["y", "x"]).select("series_id", "t", "y", "x")))
+_model("p1_box_cox_power")(lambda m, s: stats.box_cox_power(s))
+_model("a10_failed_series")(lambda m, s: m.auto_arima(s.filter("t < 3 OR series_id LIKE '1%'"), m.auto.Options(most_p=1, most_q=1), failed="keep").select("series_id", "error"))
+
+
+@register("g6_roots_of_given_models", "WITH c AS (SELECT n_name AS series_id, n_nationkey / 30.0::DOUBLE - 0.4 AS a, -(n_regionkey + 1) / 8.0::DOUBLE AS b, (n_nationkey - 10) / 16.0::DOUBLE AS q FROM nation), k AS (SELECT series_id, CASE WHEN a * a + 4 * b < 0 THEN 1 / sqrt(-b) ELSE least(abs((-a + sqrt(a * a + 4 * b)) / (2 * b)), abs((-a - sqrt(a * a + 4 * b)) / (2 * b))) END AS least_ar, CASE WHEN q = 0 THEN 1e9 ELSE 1 / abs(q) END AS least_ma FROM c) SELECT series_id, " + r("least_ar AS least_ar", "least_ma AS least_ma") + ", least_ar > 1 AS stationary, least_ma > 1 AS invertible FROM k")
+def g6_given(spark, d):
+    from seriesloom.plans import models
+
+    n = sources.table(spark, d, "nation")
+    given = n.select(F.col("n_name").alias("series_id"), F.array(F.col("n_nationkey") / 30.0 - 0.4, -(F.col("n_regionkey") + 1) / 8.0).alias("phi"), F.array((F.col("n_nationkey") - 10) / 16.0).alias("theta"))
+    return rounded(models.characteristic_roots(given).withColumns({"least_ma": F.least("least_ma", F.lit(1e9))}))
+
+
+@register("p6_p7_pipeline_random_walk", WALK + f" SELECT series_id, h::INT AS h, {r('last AS forecast')} FROM w, generate_series(1, 12) x(h)")
+def p6_walk(spark, d):
+    from seriesloom.plans.pipeline import Log, Pipeline
+
+    chain = Pipeline((("log", Log()),), (0, 1, 0), unit="month")
+    return rounded(chain.fit(sources.monthly_revenue(spark, d)).predict(12).select("series_id", "h", "forecast"))

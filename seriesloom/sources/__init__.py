@@ -18,6 +18,16 @@ def monthly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.col("o_orderpriority").alias("series_id"), t.alias("t")).agg((F.sum("o_totalprice") / 1234577.0).alias("y"))
 
 
+def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, t, y): order value in thousands by customer and month from 1995 on, a series of 79 months for each customer with orders; 0 in months without."""
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("2001-08-01").cast("timestamp_ntz"))
+    t = ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).cast("int")
+    sums = o.groupBy(F.col("o_custkey").cast("string").alias("series_id"), t.alias("t")).agg((F.sum("o_totalprice") / 1000.0).alias("y"))
+    months = F.sequence(F.lit(0), F.lit(78))
+    known = sums.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "y"))).alias("known"))
+    return known.select("series_id", F.posexplode(F.transform(months, lambda m: F.coalesce(F.try_element_at("known", m), F.lit(0.0)))).alias("t", "y"))
+
+
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, ds, t, y): events by type and day."""
     e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("ds")).agg(F.count("*").cast("double").alias("y"))
