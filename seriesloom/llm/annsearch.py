@@ -104,19 +104,23 @@ def matrix(column) -> np.ndarray:
 
 
 def nearest_ids(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
-    """(distance, id) of the k vectors nearest to query under other ids, ties by id."""
-    d = np.sqrt(((vectors - query) ** 2).sum(1))
-    d[ids == own] = np.inf
+    """(distance, id) of the k vectors nearest to query under other ids, ties by id.
+
+    Squares are added in the order of the components, so that a distance is the same number wherever it is computed.
+    """
+    rough = ((vectors - query) ** 2).sum(1)
+    rough[ids == own] = np.inf
     wide = 4 * k
     while True:
-        near = np.flatnonzero(d <= np.partition(d, wide)[wide]) if wide < len(d) else np.arange(len(d))
+        near = np.flatnonzero(rough <= np.partition(rough, wide)[wide] * (1 + ROUNDING)) if wide < len(rough) else np.arange(len(rough))
+        d = np.where(rough[near] < np.inf, np.sqrt(np.cumsum((vectors[near] - query) ** 2, 1)[:, -1]), np.inf)
         found: dict[int, float] = {}
-        for i in near[np.lexsort((ids[near], d[near]))].tolist():
-            if d[i] < np.inf:
-                found.setdefault(int(ids[i]), float(d[i]))
+        for j in np.lexsort((ids[near], d)).tolist():
+            if d[j] < np.inf:
+                found.setdefault(int(ids[near[j]]), float(d[j]))
             if len(found) == k:
                 break
-        if len(found) == k or wide >= len(d):
+        if len(found) == k or wide >= len(rough):
             return [(x, i) for i, x in found.items()]
         wide *= 4
 
@@ -257,3 +261,15 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 10, reach: float = R
 def query(spark, sf_dir: str) -> DataFrame:
     rows = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return search(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+#: Brute force over all pairs of a query and a row, squares added in the order of the components.
+ORACLE = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+usual AS (SELECT len(vec) AS n FROM v GROUP BY 1 ORDER BY count(*) DESC, n LIMIT 1),
+u AS (SELECT v.* FROM v, usual WHERE len(vec) = n),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id,
+    min(sqrt(list_reduce(list_transform(list_zip(c.vec, q.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b))) AS score
+    FROM u AS q, u AS c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id GROUP BY 1, 2)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INT AS rank, vec_id, score FROM pairs
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10"""

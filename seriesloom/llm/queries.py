@@ -16,6 +16,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
+    "op2_inverted_multi_index": annsearch.ORACLE,
     "op8_suffix_array_dedup": suffixdedup.ORACLE,
     "op9_line_dedup": linededup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
