@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from seriesloom.functions.stats import n_diffs, normal_quantile
 from seriesloom.kernels import arma, auto, power as powers, seasonal as tests, unitroot
 from seriesloom.kernels.arma import Fitted
-from seriesloom.operators.series import KEY, pack
+from seriesloom.kernels.statespace import Gapped
+from seriesloom.operators.series import KEY, densify, pack
 
 #: Series and candidates that are fitted together at most.
 BATCH = 256
@@ -56,9 +57,12 @@ def fit(df: DataFrame, order: Order, seasonal: Seasonal = NONE, *, exog: list[st
     """One model row for each series; exog names columns of regressors with ARMA errors; init and polish as in :class:`Fitted`.
 
     power is a Box-Cox power that series are transformed by before; drift adds a constant to a series differenced once, and
-    is an error for one differenced oftener, where a constant would be a trend of higher degree.
+    is an error for one differenced oftener, where a constant would be a trend of higher degree. With method diffuse, places
+    without a value between the first and last of a series are missing values (:class:`Gapped`, without regressors).
     """
     mean = _constant(order, seasonal, mean, drift)
+    if method == "diffuse":
+        return _mapped(_gapped(df, exog), lambda rows: _models(rows[KEY].to_numpy(), Gapped(_transformed(_values(rows), power, shift), order, seasonal, mean)), MODEL)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return _models(rows[KEY].to_numpy(), Fitted(_transformed(_values(rows), power, shift), order, seasonal, mean, exog=_regressors(rows), method=method, init=init, polish=polish))
@@ -66,6 +70,12 @@ def fit(df: DataFrame, order: Order, seasonal: Seasonal = NONE, *, exog: list[st
     return _mapped(_packed(df, exog), run, MODEL)
 
 
+def _gapped(df: DataFrame, exog: list[str] | None) -> DataFrame:
+    if exog:
+        raise ValueError("the diffuse method takes no regressors")
+    return _packed(densify(df.filter(F.col("y").isNotNull())))
+
+
 def _constant(order: Order, seasonal: Seasonal, mean: bool | None, drift: bool) -> bool | None:
     if not drift:
         return mean
@@ -92,23 +102,26 @@ def _forecasts(keys, bands: tuple[np.ndarray, ...], names: tuple[str, ...] = ("f
     return pd.DataFrame({KEY: np.repeat(keys, h), "h": np.tile(np.arange(1, h + 1), len(keys)), **{c: x.ravel() for c, x in zip(names, bands, strict=True)}})
 
 
-def forecast(df: DataFrame, order: Order, seasonal: Seasonal = NONE, h: int = 12, *, exog: list[str] | None = None, future: DataFrame | None = None, mean: bool | None = None, level: float = 0.95, std_error: bool = False, power: float | None = None, shift: float = 0.0, drift: bool = False) -> DataFrame:
+def forecast(df: DataFrame, order: Order, seasonal: Seasonal = NONE, h: int = 12, *, exog: list[str] | None = None, future: DataFrame | None = None, mean: bool | None = None, level: float = 0.95, std_error: bool = False, power: float | None = None, shift: float = 0.0, drift: bool = False, method: str = "css-ml") -> DataFrame:
     """(series_id, h, forecast, lower, upper). With exog, future has (series_id, t, exog) for the h places after each series.
 
-    level is that of the interval; std_error adds the forecast's error, on the scale of the model; power, shift and drift are as
+    level is that of the interval; std_error adds the forecast's error, on the scale of the model; power, shift, drift and method are as
     for :func:`fit`, and what is forecast is on the series' own scale (its median, with a power).
     """
     mean, z = _constant(order, seasonal, mean, drift), normal_quantile(0.5 + level / 2)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        model = Fitted(_transformed(_values(rows), power, shift), order, seasonal, mean, exog=_regressors(rows))
-        bands = model.forecast(h, z, _regressors(rows, "ahead"))
+        y = _transformed(_values(rows), power, shift)
+        if method == "diffuse":
+            bands = Gapped(y, order, seasonal, mean).forecast(h, z)
+        else:
+            bands = Fitted(y, order, seasonal, mean, exog=_regressors(rows), method=method).forecast(h, z, _regressors(rows, "ahead"))
         error = (bands[2] - bands[0]) / z
         if power is not None:
             bands = tuple(powers.inverse(x, power, shift) for x in bands)
         return _forecasts(rows[KEY].to_numpy(), (*bands, error)[: 4 if std_error else 3], ("forecast", "lower", "upper", "std_error")[: 4 if std_error else 3])
 
-    packed = _packed(df, exog)
+    packed = _gapped(df, exog) if method == "diffuse" else _packed(df, exog)
     if exog:
         ahead = pack(future.withColumn("y", F.lit(0.0)), exog).select(KEY, F.slice("xs", 1, h).alias("ahead"))
         packed = packed.join(ahead, KEY)

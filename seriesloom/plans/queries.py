@@ -373,6 +373,7 @@ _model("b4_b5_parameter_bootstrap")(lambda m, s: m.parameter_bootstrap(s, (1, 0,
 _model("g6_roots")(lambda m, s: m.characteristic_roots(m.fit(s, (2, 0, 1))))
 _model("g7_summary")(lambda m, s: m.summary(s, (1, 0, 1)))
 _model("o1_outliers")(lambda m, s: m.outliers(s, kinds=("AO", "LS", "TC", "IO")))
+_model("f2_fit_diffuse")(lambda m, s: m.fit(s, (1, 0, 1), method="diffuse").drop("phi", "theta", "beta"))
 _model("k7_k8_diffuse_likelihood")(lambda m, s: m.diffuse_likelihood(s, (1, 1, 1)))
 
 
@@ -448,3 +449,18 @@ def p6_walk(spark, d):
 
     chain = Pipeline((("log", Log()),), (0, 1, 0), unit="month")
     return rounded(chain.fit(sources.monthly_revenue(spark, d)).predict(12).select("series_id", "h", "forecast"))
+
+
+CUSTOMERS = "s AS (SELECT o_custkey::VARCHAR AS series_id, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1)::INT AS t, sum(o_totalprice) / 1e6 AS y FROM orders GROUP BY 1, 2)"
+STEPS = ", g AS (SELECT series_id, y - lag(y) OVER w AS dy, t - lag(t) OVER w AS gap FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t)), v AS (SELECT series_id, avg(dy * dy / gap) AS sigma2, count(*) AS n, sum(ln(gap)) AS logs FROM g WHERE gap IS NOT NULL GROUP BY 1)"
+
+
+@register("f2_fit_with_gaps", f"WITH {CUSTOMERS}{STEPS} SELECT series_id, n::INT AS nobs, {r('sigma2 AS sigma2', '-0.5 * (n * (ln(2 * pi() * sigma2) + 1) + logs) AS log_l')} FROM v WHERE n >= 2")
+def f2_gaps(spark, d):
+    """Random walks fitted to customers' orders by month, in which months without orders are missing values."""
+    from seriesloom.plans import models
+
+    t = ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).cast("int")
+    s = sources.table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("series_id"), t.alias("t")).agg((F.sum("o_totalprice") / 1e6).alias("y"))
+    long = s.join(s.groupBy("series_id").count().filter("count >= 3"), "series_id", "left_semi")
+    return rounded(models.fit(long, (0, 1, 0), method="diffuse").select("series_id", "nobs", "sigma2", "log_l"))
